@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.quality import quality_rules
+
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.simhash import near_duplicates
 
