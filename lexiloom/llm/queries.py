@@ -7,6 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.secrets import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _op2_sql() -> str:
+    from lexiloom.llm import secrets as s
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    samples = ", ".join(f"({quoted(t)}, {quoted(k)})" for t, k in s.default_samples())
+    searched = {kind: (s._LONG_ENOUGH[kind] or pattern, group, least) for kind, (pattern, group, least) in s.BASE.items()} | {"random": (s.RANDOM, 0, s.MIN_RANDOM)}
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, {quoted(pattern)}, 0) AS m, regexp_extract_all(t, {quoted(pattern)}, {group}) AS g, string_split_regex(t, {quoted(pattern)}) AS p FROM d WHERE regexp_matches(t, {quoted(pattern)})"
+        for rank, (kind, (pattern, group, least)) in enumerate(searched.items())
+    )
+    log = lambda n, of: f"ln((coalesce({n}, 0) + {s.SMOOTHING}) / (coalesce({of}, 0) + {s.SMOOTHING * s.SYMBOLS}))"
+    return f"""
+WITH samples(token, label) AS (VALUES {samples}),
+chars AS (SELECT token, label, unnest(range(1, length(token) + 1)) AS i FROM samples),
+pairs AS (SELECT label, CASE WHEN i > 1 THEN ascii(token[i - 1]) * 128 ELSE 0 END + ascii(token[i]) AS pair FROM chars),
+counted AS (SELECT pair, count(*) FILTER (label = 'random') AS r, count(*) FILTER (label = 'ordinary') AS o FROM pairs GROUP BY pair),
+before AS (SELECT pair // 128 AS prev, sum(r) AS ar, sum(o) AS ao FROM counted GROUP BY 1),
+weights AS (SELECT p AS pair, CAST(round(1000 * ({log('r', 'ar')} - {log('o', 'ao')})) AS INTEGER) AS w FROM range(16384) AS x(p) LEFT JOIN counted ON pair = p LEFT JOIN before ON prev = p // 128),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({kinds}),
+i AS (SELECT rid, rank, kind, least, unnest(m) AS token, unnest(g) AS grp, unnest(p[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM k),
+located AS (SELECT rid, rank, kind, least, token, grp, sum(length(gap) + length(token)) OVER (PARTITION BY rid, rank ORDER BY i) AS e FROM i),
+found AS (SELECT rid, rank, kind, CAST(e - length(token) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, token FROM located WHERE length(grp) >= least),
+base AS (SELECT * FROM found WHERE rank < 3),
+maybe AS (SELECT row_number() OVER () AS cid, f.* FROM found f WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.s < f.e AND f.s < b.e)),
+steps AS (SELECT cid, token, unnest(range(1, length(token) + 1)) AS i FROM maybe),
+scored AS (SELECT cid FROM steps JOIN weights ON pair = CASE WHEN i > 1 THEN ascii(token[i - 1]) * 128 ELSE 0 END + ascii(token[i]) GROUP BY cid HAVING sum(w) >= {s.MIN_SCORE}),
+spans AS (SELECT rid, rank, kind, s, e FROM base UNION ALL SELECT rid, rank, kind, s, e FROM maybe SEMI JOIN scored USING (cid)),
+told AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS every FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, coalesce(n3, 0) AS n_random,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN told USING (rid)"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.quality import quality_rules
 
@@ -24,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scans": _op2_sql()}
