@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.sentencepiece import encode
+
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), parity=True)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.secrets import scan
 
@@ -47,6 +53,36 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN told USING (rid)"""
 
 
+def op7_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _op7_sql() -> str:
+    from lexiloom.llm import mixing as m
+
+    key = lambda c: f"coalesce('=' || {c}, 'null')"
+    topic = " ".join("WHEN " + " OR ".join(f"contains(t, '{x}')" for x in marks) + f" THEN '{name}'" for name, marks in m.TOPICS.items())
+    steps, last = [], "r0"
+    for r in range(m.ROUNDS):
+        for k, c in enumerate(m.MARGINS):
+            now = f"r{r}_{k}"
+            steps.append(f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, share * want / sum(share) OVER (PARTITION BY {c}) AS share FROM {last} JOIN want_{c} USING ({c}))")
+            last = now
+    wants = ", ".join(f"sum_{c} AS (SELECT {c}, pow(sum(tokens), {m.TARGETS[c]}) AS p FROM cells GROUP BY {c} HAVING sum(tokens) > 0), want_{c} AS MATERIALIZED (SELECT {c}, p / (SELECT sum(p) FROM sum_{c}) AS want FROM sum_{c})" for c in m.MARGINS)
+    return f"""
+WITH d AS (SELECT doc_id, {key('source')} AS source, {key('lang')} AS lang, coalesce(text, '') AS t FROM documents),
+docs AS MATERIALIZED (SELECT doc_id, source, lang, '=' || CASE {topic} ELSE '{m.OTHER}' END AS topic, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+  CAST(('0x' || substr(sha256('{m.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), sha256(t))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS draw FROM d),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM docs GROUP BY ALL), {wants},
+r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM cells) AS share FROM cells WHERE tokens > 0),
+{', '.join(steps)},
+weighed AS (SELECT source, lang, topic, round(least(share * (SELECT sum(tokens) FROM cells) / tokens, {m.MAX_WEIGHT}), 6) AS weight FROM {last})
+SELECT doc_id, substr(topic, 2) AS topic, n_tokens, coalesce(weight, 0.0) AS weight, coalesce(round(weight / (SELECT max(weight) FROM weighed), 6), 1.0) AS chance,
+  draw < coalesce(round(weight / (SELECT max(weight) FROM weighed), 6), 1.0) AS sampled FROM docs LEFT JOIN weighed USING (source, lang, topic)"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.quality import quality_rules
 
@@ -64,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql()}
+    return {"op2_secret_scans": _op2_sql(), "op7_mix_to_target_weights": _op7_sql()}
