@@ -53,6 +53,18 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN told USING (rid)"""
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.licenses import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.urls import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.mixing import mix
 
