@@ -25,7 +25,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Rules become one expression; a longer list would have to be joined.
 MAX_RULES = 1000
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
-THRESHOLD = 0.05
+THRESHOLD = 0.01
 #: Share of a host's pages that rules must allow (block) for the host to be a seed.
 SEED_SHARE = 0.5
 LINK = r"""(?:[hH][rR][eE][fF]|[sS][rR][cC])\x20*=\x20*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<>\x00-\x20]+)"""
