@@ -65,6 +65,31 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.lmscore import good_ids, score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after the edits of ``edit_script``, re-encoding only what they touch."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm.tokencounts import apply_edits, build_trees, edit_script
+
+    trees = build_trees(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # the count before rides along in the id: one pass, no join
+    both = trees.withColumns({"doc_id": F.struct("doc_id", "n_tokens", F.size("counts").cast("long").alias("n_pretokens")), "edits": edit_script()})
+    done = apply_edits(both)
+    return done.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.n_pretokens", F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.neardup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.mixing import mix
 
