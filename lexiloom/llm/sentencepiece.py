@@ -7,10 +7,8 @@ imply, and byte fallback. Batches are encoded by the library's threads.
 With ``parity``, ids and decoded texts are held against the sentencepiece library.
 
 Defined cases: null text encodes as empty, without ids; texts are encoded
-whole, whatever their length (white-space runs part a text into independent
-pieces where no piece of the vocabulary spans them); repeated rows and null ids
-are encoded like any other; an empty table gives an empty table; other columns
-are ignored.
+whole, whatever their length; repeated rows and null ids are encoded like any
+other; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,9 +123,12 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def _parts_at_marks(model: Model) -> bool:
-    """Whether no piece has the marker after another character: then a text may be cut before each run of markers."""
-    return not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED, UNUSED))
+def piece_bytes(model: Model) -> list[bytes]:
+    """The UTF-8 bytes that each id stands for, the marker as a space; control pieces and the unknown piece as they are named."""
+    out = []
+    for piece, _, kind in model.pieces:
+        out.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode("utf-8"))
+    return out
 
 
 def build_tokenizer(model: Model):
@@ -149,11 +150,6 @@ def build_tokenizer(model: Model):
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if model.kind == BPE and _parts_at_marks(model):
-        # exact, as no merge crosses these borders; short pieces also come from the library's cache
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    elif model.kind == UNIGRAM and _parts_at_marks(model):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     added = [AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if added:
         tokenizer.add_tokens(added)
@@ -171,7 +167,7 @@ _BUILT: dict[bytes, tuple] = {}
 
 
 def _built(raw: bytes, threads: int):
-    """(tokenizer, sentencepiece processor) of a model, once per worker process."""
+    """(tokenizer, sentencepiece processor, bytes of the pieces) of a model, once per worker process."""
     key = hashlib.sha256(raw).digest()
     if key not in _BUILT:
         # read when the library starts its threads
@@ -181,7 +177,8 @@ def _built(raw: bytes, threads: int):
 
         processor = sentencepiece.SentencePieceProcessor()
         processor.LoadFromSerializedProto(raw)
-        _BUILT[key] = build_tokenizer(parse_model(raw)), processor
+        model = parse_model(raw)
+        _BUILT[key] = build_tokenizer(model), processor, piece_bytes(model)
     return _BUILT[key]
 
 
@@ -199,6 +196,13 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def _decoded(tokenizer, pieces: list[bytes], ids: list[list[int]], texts: list[str]) -> list[str]:
+    """The decoded texts. Where the pieces' bytes are the text's own, the decoder would return it, and isn't asked."""
+    same = [b"".join([pieces[i] for i in x]) == (b" " + t.encode("utf-8", "surrogatepass") if x else b"") for x, t in zip(ids, texts, strict=True)]
+    others = iter(tokenizer.decode_batch([x for x, ok in zip(ids, same, strict=True) if not ok], skip_special_tokens=False))
+    return [(t if x else "") if ok else next(others) for x, t, ok in zip(ids, texts, same, strict=True)]
+
+
 def _model_bytes(df: DataFrame, model: str):
     with open(model, "rb") as f:
         raw = f.read(MAX_MODEL_BYTES + 1)
@@ -220,12 +224,12 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         schema = schema.add("parity", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, processor = _built(raw.value, threads)
+        tokenizer, processor, pieces = _built(raw.value, threads)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(1).to_pylist()):
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                back = _decoded(tokenizer, pieces, ids, texts)
                 arrays = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())]
                 if parity:
                     other = processor.encode(texts, num_threads=threads)
@@ -243,7 +247,7 @@ def decode(rows: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col:
     schema = narrow.select("doc_id").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _built(raw.value, threads)
+        tokenizer, *_ = _built(raw.value, threads)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(at, BATCH_TEXTS)
