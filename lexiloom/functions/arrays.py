@@ -91,11 +91,15 @@ def _last(phones: Column, old: str, new: str) -> Column:
     return F.when(F.element_at(phones, -1) == old, F.concat(F.slice(phones, F.lit(1), n - 1), F.array(F.lit(new)))).otherwise(phones)
 
 
+def _swap(old: str, new: str):
+    return lambda p: F.when(p == old, new).otherwise(p)
+
+
 def _after(word: Column, phones: Column, pairs: dict[str, str], unless: str) -> Column:
     swapped = phones
     for old, new in pairs.items():
-        swapped = F.when(~word.rlike(unless), F.transform(swapped, lambda p, o=old, n=new: F.when(p == o, n).otherwise(p))).otherwise(swapped)
-    return swapped
+        swapped = F.transform(swapped, _swap(old, new))
+    return F.when(word.rlike(unless), phones).otherwise(swapped)
 
 
 #: Named policies (word, phones) -> phones that training phones may pass first.

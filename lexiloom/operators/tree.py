@@ -7,10 +7,12 @@ weighted distinct vectors. Ties go to the first feature and the first value.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import context_windows, uncook
+from lexiloom.session import checkpointed
 from lexiloom.symbols import EPSILON
 
 MAX_DEPTH = 60
@@ -48,7 +50,7 @@ def split_gains(rows: DataFrame, features: list[str], criterion: str = "entropy"
 def train(vectors: DataFrame, features: list[str] | None = None, max_depth: int = 20, min_samples_split: int = 2, min_samples_leaf: int = 1, criterion: str = "entropy", min_gain: float = 1e-9) -> DataFrame:
     """(node, feature, value, dist): inner nodes have a test, and every node its phones, likeliest first."""
     features = features or sorted(c for c in vectors.columns if c[0] == "c" and c[1:].isdigit())
-    rows = vectors.withColumn("node", F.lit(1).cast("long")).persist()
+    rows = checkpointed(vectors.withColumn("node", F.lit(1).cast("long")))
     levels = []
     for _ in range(min(max_depth, MAX_DEPTH) + 1):
         dist = rows.groupBy("node", "p").agg(F.sum("n").alias("c"))
@@ -56,19 +58,15 @@ def train(vectors: DataFrame, features: list[str] | None = None, max_depth: int
         nodes = total.select("node", F.transform("d", lambda x: F.struct(x["p"].alias("phone"), (-x["neg"] / F.col("all")).alias("prob"), (-x["neg"]).alias("n"))).alias("dist"))
         gains = split_gains(rows, features, criterion).where((F.col("gain") > min_gain) & (F.col("all") >= min_samples_split) & (F.col("n") >= min_samples_leaf) & (F.col("all") - F.col("n") >= min_samples_leaf))
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "value"))
-        best = gains.withColumn("rank", rank).where("rank = 1").select("node", "feature", "value").persist()
-        deepest = len(levels) >= min(max_depth, MAX_DEPTH) or best.isEmpty()
+        deepest = len(levels) >= min(max_depth, MAX_DEPTH)
+        best = gains.where("false").select("node", "feature", "value") if deepest else checkpointed(gains.withColumn("rank", rank).where("rank = 1").select("node", "feature", "value"))
+        deepest = deepest or best.isEmpty()
         tests = best.where("false") if deepest else best
-        levels.append(nodes.join(tests, "node", "left").select("node", "feature", "value", "dist").persist())
-        levels[-1].count()
+        levels.append(checkpointed(nodes.join(tests, "node", "left").select("node", "feature", "value", "dist")))
         if deepest:
             break
         answer = F.coalesce(*(F.when(F.col("feature") == i, F.col(c) == F.col("value")) for i, c in enumerate(features)))
-        after = rows.join(best, "node").withColumn("node", F.col("node") * 2 + F.when(answer, 0).otherwise(1)).drop("feature", "value").persist()
-        after.count()
-        rows.unpersist()
-        rows = after
-    rows.unpersist()
+        rows = checkpointed(rows.join(best, "node").withColumn("node", F.col("node") * 2 + F.when(answer, 0).otherwise(1)).drop("feature", "value"))
     tree = levels[0]
     for level in levels[1:]:
         tree = tree.unionByName(level)
@@ -78,7 +76,7 @@ def train(vectors: DataFrame, features: list[str] | None = None, max_depth: int
 def prune(tree: DataFrame, validation: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Reduced-error pruning, bottom up: a node whose own majority errs no more than its subtree becomes a leaf."""
     features = features or sorted(c for c in validation.columns if c[0] == "c" and c[1:].isdigit())
-    nodes = tree.withColumns({"depth": F.length(F.bin("node")) - 1, "best": F.get("dist", 0)["phone"]}).persist()
+    nodes = checkpointed(tree.withColumns({"depth": F.length(F.bin("node")) - 1, "best": F.get("dist", 0)["phone"]}))
     depth = nodes.agg(F.max("depth")).first()[0] or 0
     rows = validation.withColumn("node", F.lit(1).cast("long"))
     tests = nodes.select("node", "feature", "value", "best")
@@ -88,15 +86,15 @@ def prune(tree: DataFrame, validation: DataFrame, features: list[str] | None = N
         wrong = here.groupBy("node").agg(F.sum(F.when(F.col("p") != F.col("best"), F.col("n")).otherwise(0)).alias("wrong"))
         errors = wrong if errors is None else errors.unionByName(wrong)
         answer = F.coalesce(*(F.when(F.col("feature") == i, F.col(c) == F.col("value")) for i, c in enumerate(features)))
-        rows = here.where("feature is not null").withColumn("node", F.col("node") * 2 + F.when(answer, 0).otherwise(1)).select(validation.columns + ["node"])
-    told = nodes.join(errors, "node", "left").na.fill(0, ["wrong"]).select("node", "depth", "feature", "wrong").persist()
+        rows = checkpointed(here.where("feature is not null").withColumn("node", F.col("node") * 2 + F.when(answer, 0).otherwise(1)).select(validation.columns + ["node"]))
+    told = checkpointed(nodes.join(errors, "node", "left").na.fill(0, ["wrong"]).select("node", "depth", "feature", "wrong"))
     below = told.where("false").select("node", F.col("wrong").alias("subtree"))
     cut = []
     for d in range(depth, -1, -1):
         children = below.groupBy(F.floor(F.col("node") / 2).cast("long").alias("node")).agg(F.sum("subtree").alias("under"))
         level = told.where(F.col("depth") == d).join(children, "node", "left")
         leaf = F.col("feature").isNull() | (F.col("wrong") <= F.col("under"))
-        level = level.select("node", leaf.alias("leaf"), F.when(leaf, F.col("wrong")).otherwise(F.col("under")).alias("subtree")).persist()
+        level = checkpointed(level.select("node", leaf.alias("leaf"), F.when(leaf, F.col("wrong")).otherwise(F.col("under")).alias("subtree")))
         cut += [r.node for r in level.where("leaf").select("node").collect()]
         below = level.select("node", "subtree")
     stops = set(cut)
@@ -156,8 +154,6 @@ DISTS = "array<array<struct<phone:string,prob:double>>>"
 
 def distributions(words: DataFrame, tree: DataFrame, width: int = 7) -> DataFrame:
     """``words`` (..., letters) with ``dists``: for each letter the leaf's phones, likeliest first."""
-    import pandas as pd
-
     held = words.sparkSession.sparkContext.broadcast(walker(tree, width))
 
     @F.pandas_udf(DISTS)

@@ -90,7 +90,7 @@ def dedup_cooked(spark, sf_dir):
     return L.first_of_cooked(lex.unionByName(lex.withColumn("seq", F.col("seq") + 2))).select(flat("letters"), flat("phones"), "seq")
 
 
-@query(with_lex("SELECT word, variant FROM lex WHERE len(letters) >= len(phones) AND factorial(len(letters)) / (factorial(len(phones)) * factorial(len(letters) - len(phones))) <= 100"))
+@query(with_lex("SELECT word, variant FROM lex WHERE len(letters) >= len(phones) AND factorial(CAST(len(letters) AS INTEGER)) / (factorial(CAST(len(phones) AS INTEGER)) * factorial(CAST(len(letters) - len(phones) AS INTEGER))) <= 100"))
 def admission_filter(spark, sf_dir):
     return L.admissible(lexicon(spark, sf_dir), 100).select("word", "variant")
 
@@ -117,7 +117,7 @@ def lexicon_hash(spark, sf_dir):
 
 
 _EDGE = r"^[\p{P}\p{S}\p{C}\p{M}\p{Z}]+|[\p{P}\p{S}\p{C}\p{M}\p{Z}]+$"
-_NORMAL_SQL = "SELECT token, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\\s+')), '" + _EDGE + "', XX token <> '' GROUP BY token"
+_NORMAL_SQL = "SELECT token, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\\s+')), '" + _EDGE + "', '', 'g') AS token FROM documents) WHERE token <> '' GROUP BY token"
 
 
 @query(_NORMAL_SQL)
@@ -352,7 +352,7 @@ def substitutions(spark, sf_dir):
     return E.substitutions(_judged(spark, sf_dir))
 
 
-@query(with_lex("SELECT count(*) AS entries, coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS changed_entries, coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS changed_phones FROM lex"))
+@query(with_lex("SELECT count(*) AS entries, CAST(coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS BIGINT) AS changed_entries, CAST(coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS BIGINT) AS changed_phones FROM lex"))
 def normalize_audit(spark, sf_dir):
     return E.audit_policy(lexicon(spark, sf_dir), "do_du")
 
