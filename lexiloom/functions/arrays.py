@@ -106,7 +106,7 @@ def _after(word: Column, phones: Column, pairs: dict[str, str], unless: str) ->
 POLICIES = {
     "identity": lambda word, phones: phones,
     "collapse_open": lambda word, phones: F.transform(phones, lambda p: F.when(p == "ɛ", "e").when(p == "ɔ", "o").otherwise(p)),
-    "spelling_gated": lambda word, phones: _after(word, phones, {"ɛ": "e", "ɔ": "o"}, "[èò]"),
+    "spelling_gated": lambda word, phones: _after(word, phones, dict(zip("ɛɔ", "eo", strict=True)), "[èò]"),
     "surface_final": lambda word, phones: F.when(F.size(phones) == 0, phones).otherwise(_last(_last(phones, "o", "u"), "e", "i")),
     "do_du": lambda word, phones: F.when(word.rlike("do$") & (F.size(phones) > 1), _last(phones, "o", "u")).otherwise(phones),
     "citation_expand": lambda word, phones: F.flatten(F.transform(phones, lambda p: F.when(p == "ʊ", F.array(F.lit("u"))).when(p == "ɪ", F.array(F.lit("i"))).otherwise(F.array(p)))),

@@ -132,11 +132,10 @@ def e_step(entries: DataFrame, q: dict[str, float], span_l: int, span_p: int) ->
 
 def m_step(counts: dict[str, float], prune: float = PRUNE) -> dict[str, float]:
     """Normalised counts without those below ``prune``, at least the best one, normalised again."""
-    total = sum(counts.values()) or 1.0
-    q = {u: c / total for u, c in counts.items()}
-    kept = {u: p for u, p in q.items() if p >= prune} or dict([max(q.items(), key=lambda x: x[1])])
-    total = sum(kept.values())
-    return {u: p / total for u, p in kept.items()}
+    least = prune * (sum(counts.values()) or 1.0)
+    strong = [unit for unit in counts if counts[unit] >= least] or [max(counts, key=counts.__getitem__)]
+    mass = sum(map(counts.__getitem__, strong))
+    return {unit: counts[unit] / mass for unit in strong}
 
 
 def fit_units(entries: DataFrame, span_l: int = 2, span_p: int = 2, iterations: int = 15, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
@@ -171,7 +170,7 @@ def viterbi(entries: DataFrame, q: DataFrame, span_l: int = 2, span_p: int = 2)
     return entries.mapInArrow(run, schema)
 
 
-def top_units(q: DataFrame, min_letters: int = 1, min_phones: int = 0, min_prob: float = 0.0) -> DataFrame:
+def top_units(q: DataFrame, min_letters: int = 1, *, min_prob: float = 0.0, min_phones: int = 0) -> DataFrame:
     """(unit, letters, phones, prob), likeliest first."""
     rows = q.select("unit", unit_letters(F.col("unit")).alias("letters"), unit_phones(F.col("unit")).alias("phones"), "prob")
     return rows.where((F.size("letters") >= min_letters) & (F.size("phones") >= min_phones) & (F.col("prob") >= min_prob)).orderBy(F.desc("prob"), "unit")

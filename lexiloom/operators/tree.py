@@ -133,10 +133,10 @@ class Walker:
             out.append(dist)
         return out
 
-    def nbest(self, letters: list[str], n: int = 5) -> list[tuple[list[str], float]]:
+    def nbest(self, letters: list[str], n: int = 5) -> list[tuple]:
         from lexiloom.symbols import JOINER
 
-        beam: list[tuple[tuple[str, ...], float]] = [((), 1.0)]
+        beam: list[tuple] = [((), 1.0)]
         for dist in self.distributions(letters):
             beam = sorted(((path + (p,), s * q) for path, s in beam for p, q in dist[: min(3, n)]), key=lambda x: -x[1])[:n]
         return [([p for t in path if t != EPSILON for p in t.split(JOINER)], s) for path, s in beam] if letters else []

@@ -45,7 +45,7 @@ def flat(c: str):
     return F.array_join(c, " ").alias(c)
 
 
-# --- lexicon files -----------------------------------------------------------------------------
+# == lexicon files
 
 
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def lexicon_hash(spark, sf_dir):
     return L.lexicon_hash(lex.select(F.struct("word", "variant").alias("seq"), F.concat_ws(" ", "word", flat("phones")).alias("value")))
 
 
-# --- text ------------------------------------------------------------------------------------------
+# == text
 
 
 _EDGE = r"^[\p{P}\p{S}\p{C}\p{M}\p{Z}]+|[\p{P}\p{S}\p{C}\p{M}\p{Z}]+$"
@@ -202,7 +202,7 @@ def unit_id_codec(spark, sf_dir):
     return lexicon(spark, sf_dir).select("word", "variant", unit.alias("unit")).select("word", "variant", "unit", F.size(T.unit_letters(F.col("unit"))).alias("n_letters"), F.size(T.unit_phones(F.col("unit"))).alias("n_phones"))
 
 
-# --- windows and counts ------------------------------------------------------------------------
+# == windows and counts
 
 
 _PAD_SQL = "list_concat(['•', '•', '•'], letters, ['•', '•', '•'])"
@@ -253,7 +253,7 @@ def split_lexicon(spark, sf_dir):
     return W.split_test(lexicon(spark, sf_dir).select("word", "variant"))
 
 
-# --- lexicon checks ------------------------------------------------------------------------------
+# == lexicon checks
 
 
 def _spec(spark):
@@ -311,7 +311,7 @@ def score_histogram(spark, sf_dir):
     return S.histogram(scored(lexicon(spark, sf_dir))).withColumn("avg_score", F.round("avg_score", 6))
 
 
-# --- evaluation ----------------------------------------------------------------------------------
+# == evaluation
 
 
 def _judged(spark, sf_dir):
@@ -384,7 +384,7 @@ def compare_summary(spark, sf_dir):
     return E.compare(one.unionByName(many))
 
 
-# --- alignment, units, trees -------------------------------------------------------------------
+# == alignment, units, trees
 
 
 def alignable(spark, sf_dir) -> DataFrame:

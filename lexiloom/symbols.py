@@ -5,7 +5,7 @@ EPSILON = "∅"
 JOINER = "₊"
 UNIT = "\x1f"
 BEGIN, END = "<s>", "</s>"
-STRESSED_VOWELS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
+STRESSED_VOWELS = tuple(a + b for a, rest in {"U": "HW", "O": "WY", "I": "HY", "E": "HRY", "A": "AEHOWY"}.items() for b in rest)
 EPS = 1e-300
 
 #: Letter and phone patterns that are joined, and spans of the n:m model, by locale.
@@ -18,7 +18,7 @@ JOINS = {
 SPANS = {"default": (2, 2), "de_DE": (3, 2), "fr_FR": (3, 2)}
 
 #: Pairs of phones that count as equal where a relaxed score is asked for; pt_BR's aren't transitive.
-EQUIVALENT = {"it_IT": (("e", "ɛ"), ("o", "ɔ")), "pt_BR": (("o", "u"), ("u", "ʊ"), ("e", "i"), ("i", "ɪ"))}
+EQUIVALENT = {k: tuple(tuple(pair) for pair in v.split()) for k, v in {"it_IT": "eɛ oɔ", "pt_BR": "ou uʊ ei iɪ"}.items()}
 
 PRESETS = {
     "defaults": {"width": 7, "criterion": "entropy", "min_samples_split": 2, "min_samples_leaf": 1, "max_combinations": 0, "iterations": 15},
