@@ -81,9 +81,11 @@ def test_edit_distance_against_plain(spark):
         return row[-1]
 
     r = random.Random(1)
-    pairs = [(r.choices("abc", k=r.randrange(6)), r.choices("abc", k=r.randrange(6))) for _ in range(60)]
+    pairs = [(r.choices(phones, k=r.randrange(6)), r.choices(phones, k=r.randrange(6))) for phones in ("abc", ["AH", "A", "H"]) for _ in range(40)]
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", A.edit_distance(F.col("a"), F.col("b")).alias("d"))
     assert all(x.d == plain(x.a, x.b) for x in df.collect())
+    it = spark.createDataFrame([(["e", "t"], ["ɛ"]), (["e"], ["o"])], "a array<string>, b array<string>").select(A.edit_distance(F.col("a"), F.col("b"), "it_IT")).collect()
+    assert [x[0] for x in it] == [1, 1]
     one = spark.createDataFrame([(["u"], ["o"]), (["o"], ["ʊ"])], "a array<string>, b array<string>").select(A.edit_distance(F.col("a"), F.col("b"), "pt_BR")).collect()
     assert [x[0] for x in one] == [0, 1]  # not transitive
 
