@@ -6,8 +6,13 @@ node, the neighbours that it has or that have it (in bounded sets), and keeps th
 ``NEIGHBOURS`` best of old and new. Edges at or above the threshold are verified in
 double precision. A list that such edges fill is saturated: its node's whole
 component becomes its list, and links within it are counted tile by tile, so that
-no long list is held or sent. An audit compares link counts of a bounded sample
-of nodes with brute force; below ``MIN_RECALL`` more blocks and rounds follow.
+no long list is held or sent. A saturated list may have lost links to other
+saturated components, so those are held against each other first: by the
+triangle inequality over centres and radii of their tiles, then vector by vector
+where a bound leaves room, and those that touch become one. An audit compares
+link counts of a bounded sample of nodes with brute force; below ``MIN_RECALL``
+more blocks and rounds follow, and in the end an exact pass over all pairs of a
+label.
 
 Defined cases: a vector that is null, empty or zero, that holds null or
 non-finite components, or whose label is null, links with nothing; vectors of
@@ -38,6 +43,9 @@ MAX_ROUNDS, SETTLED = 8, 0.005
 TILE = 512
 AUDIT_NODES, MIN_RECALL, MAX_ATTEMPTS = 512, 0.97, 3
 
+#: What angles (in radians) may be off by.
+ANGLE_SLACK = 1e-6
+
 EDGES = "u long, v long, sim float"
 
 
@@ -191,11 +199,15 @@ def _verified(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame
     return near.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): vectors linked with each node within its component, members (node, component), by pairs of tiles."""
+def _tile_pairs(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, i, j, tile, node, n, unit): the tiles of each component of members (node, component), once for each pair i <= j."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = members.join(sizes, "component").join(nodes.select("node", "n", "unit"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "n", "unit")
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "n", "unit")
+
+
+def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): vectors linked with each node within its component, members (node, component), by pairs of tiles."""
 
     def run(table: pa.Table) -> pa.Table:
         x, node, n = _matrix(table["unit"], "float64"), table["node"].to_numpy(), table["n"].to_numpy()
@@ -210,7 +222,81 @@ def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> Data
             out_node, out = np.concatenate([node[a], node[b]]), np.concatenate([linked @ n[b], linked.T @ n[a]])
         return pa.table({"node": pa.array(out_node, pa.int64()), "links": pa.array(out.astype(np.int64))})
 
-    return spread.groupBy("component", "i", "j").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return _tile_pairs(nodes, members).groupBy("component", "i", "j").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix ``linked`` connects, one less than nodes in each component."""
+    left, edges = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
+        while todo:
+            at = todo.pop()
+            new = np.nonzero(linked[at] & left)[0].tolist()
+            left[new] = False
+            todo += new
+            edges += [(at, k) for k in new]
+    return edges
+
+
+def _tile_forest(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links that connect all that links within each component of members (node, component) connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, node = _matrix(table["unit"], "float64"), table["node"].to_numpy()
+        edges = np.array(_forest(x @ x.T >= threshold), np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(node[edges[:, 0]], pa.int64()), "v": pa.array(node[edges[:, 1]], pa.int64())})
+
+    return _tile_pairs(nodes, members).groupBy("component", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _touching(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of the components of members (node, component) that links connect; tiles that are too far apart to touch are not compared."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiled = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = written(tiled.join(nodes.select("node", "grp", "unit"), "node").select("grp", "component", "tile", "unit"), "saturated")
+
+    def centre(table: pa.Table) -> pa.Table:
+        x = _matrix(table["unit"], "float64")
+        c = x.mean(axis=0)
+        c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ c, -1, 1)).max())
+        return pa.table({k: table[k].slice(0, 1) for k in ("grp", "component", "tile")} | {"centre": pa.array([c.tobytes()], pa.binary()), "radius": pa.array([radius])})
+
+    cells = written(placed.groupBy("grp", "component", "tile").applyInArrow(centre, "grp string, component long, tile int, centre binary, radius double"), "cells")
+    blocks = cells.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = cells.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("component", "tile"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    reach = float(np.arccos(threshold)) + ANGLE_SLACK
+
+    def close(table: pa.Table) -> pa.Table:
+        x, radius, block = _matrix(table["centre"], "float64"), table["radius"].to_numpy(), table["block"].to_numpy()
+        component, tile = table["component"].to_numpy(), table["tile"].to_numpy()
+        a, b = np.nonzero(block == table["i"][0].as_py())[0], np.nonzero(block == table["j"][0].as_py())[0]
+        near = np.arccos(np.clip(x[a] @ x[b].T, -1, 1)) <= radius[a][:, None] + radius[b][None, :] + reach
+        near &= component[a][:, None] < component[b][None, :] if table["i"][0] == table["j"][0] else component[a][:, None] != component[b][None, :]
+        p, q = np.nonzero(near)
+        p, q = a[p], b[q]
+        return pa.table({"a": component[p], "a_tile": tile[p], "b": component[q], "b_tile": tile[q]})
+
+    pairs = written(dealt.select("grp", "i", "j", "block", "component", "tile", "centre", "radius").groupBy("grp", "i", "j").applyInArrow(close, "a long, a_tile int, b long, b_tile int"), "pairs")
+    side = lambda c: pairs.select("a", "a_tile", "b", "b_tile", F.col(c).alias("component"), F.col(f"{c}_tile").alias("tile"))
+    both = side("a").unionByName(side("b")).join(placed.select("component", "tile", "unit"), ["component", "tile"])
+
+    def touch(table: pa.Table) -> pa.Table:
+        x, a = _matrix(table["unit"], "float64"), table["component"].to_numpy() == table["a"][0].as_py()
+        found = bool((x[a] @ x[~a].T >= threshold).any())
+        return table.select(["a", "b"]).slice(0, int(found))
+
+    return both.select("a", "a_tile", "b", "b_tile", "component", "unit").groupBy("a", "a_tile", "b", "b_tile").applyInArrow(touch, "a long, b long").distinct()
+
+
+def _renamed(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """members (node, component) with the components that merged (node, component) names."""
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return checkpointed(members.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
 def link_counts(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -221,12 +307,21 @@ def link_counts(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD
     grown = full.join(members, full.u == members.node).select("component").distinct()
     # all that one component's lists hold, before any tile is made: an exact count for saturated components
     within = checkpointed(members.join(grown, "component", "left_semi"))
+    merged = connected_components(_touching(nodes, within, threshold))
+    members, within = _renamed(members, merged), _renamed(within, merged)
     tiled = _tile_counts(nodes, within, threshold)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(nodes.select(F.col("node").alias("v"), "n"), "v")
     plain = both.join(within.select(F.col("node").alias("u")), "u", "left_anti").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     return checkpointed(tiled.unionByName(plain)), members
 
 
+def exact_counts(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """``link_counts`` without a graph, over all pairs of tiles of each group."""
+    all_nodes = nodes.select("node", F.col("grp").alias("component"))
+    links = _tile_forest(nodes, all_nodes, threshold)
+    return checkpointed(_tile_counts(nodes, all_nodes, threshold)), checkpointed(connected_components(links, "u", "v"))
+
+
 def audit_recall(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> float:
     """Links found of all links that AUDIT_NODES nodes (least by hash) have, by brute force; 1 if they have none.
 
@@ -264,6 +359,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         counts, members = link_counts(nodes, edges, threshold)
         if audit_recall(nodes, counts, threshold) >= MIN_RECALL:
             break
+    else:
+        counts, members = exact_counts(nodes, threshold)
     least = members.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = members.join(least, "component").select("node", "component_id")
     full = nodes.join(counts, "node", "left").join(linked, "node", "left")

@@ -72,6 +72,37 @@ def test_matches_brute_force(spark):
     assert len(hot) > 50
 
 
+def linked_groups():
+    """A label of 4 groups, each of 3 tight groups of 40 vectors that are linked with each other as well."""
+    r = np.random.default_rng(21)
+    rows = []
+    for _ in range(4):
+        middle = r.normal(size=64)
+        middle /= np.linalg.norm(middle)
+        for _ in range(3):
+            off = r.normal(size=64)
+            own = middle + 0.08 * off / np.linalg.norm(off)
+            rows += [(len(rows) + k, [float(x) for x in own + r.normal(size=64) * 0.001], 1, 1, "clash", "clash") for k in range(40)]
+    return rows
+
+
+def test_links_between_saturated_groups(spark):
+    rows = linked_groups()
+    want = sorted(brute(rows))
+    assert len({w[2] for w in want}) == 4 and all(w[1] == 119 for w in want)
+    assert sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+def test_exact_pass_when_the_audit_fails(spark, monkeypatch):
+    rows = make()
+    monkeypatch.setattr(nd, "MAX_ATTEMPTS", 1)
+    monkeypatch.setattr(nd, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(nd, "TILE", 100)
+    monkeypatch.setattr(nd, "audit_recall", lambda *_: 0.0)
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+
+
 def test_audit_sees_what_is_missing(spark):
     nodes, _ = nd.nodes_of(spark.createDataFrame(make(), SCHEMA), "vec_id", "embedding", "label")
     none = spark.createDataFrame([], "node long, links long")
