@@ -143,18 +143,70 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+#: Weight of a character of a base span: no segment crosses it.
+_BARRED = -10_000_000
+
+
+def _segments(steps: Column) -> Column:
+    """Array of (from, to): segments of at least MIN_RANDOM steps whose sums are maximal and reach MIN_SCORE; one ends where the sum falls by as much."""
+    lagged = F.slice(F.concat(F.array_repeat(F.lit(0), MIN_RANDOM), steps), F.lit(1), F.size(steps))
+    zipped = F.zip_with(steps, lagged, lambda w, back: F.struct(w.alias("w"), back.alias("back")))
+    far = 1 << 60
+    start = F.expr(f"struct(0 as i, 0L as lead, 0L as lag, 0 as floor, {far}L as low, 0 as low_at, -{far}L as peak, 0 as `from`, 0 as `to`, cast(array() as array<struct<`from`:int,`to`:int>>) as found)")
+    of = lambda acc, **new: F.struct(*(new.get(c, acc[c]).alias(c) for c in ("i", "lead", "lag", "floor", "low", "low_at", "peak", "from", "to", "found")))
+    closed = lambda acc: F.when(acc["peak"] >= MIN_SCORE, F.concat(acc["found"], F.array(F.struct(acc["from"].alias("from"), acc["to"].alias("to"))))).otherwise(acc["found"])
+
+    def moved(acc: Column, x: Column) -> Column:
+        i, lag = acc["i"] + 1, acc["lag"] + x["back"]
+        lower = (i - MIN_RANDOM >= acc["floor"]) & (lag < acc["low"])
+        return of(acc, i=i, lead=acc["lead"] + x["w"], lag=lag, low=F.when(lower, lag).otherwise(acc["low"]), low_at=F.when(lower, i - MIN_RANDOM).otherwise(acc["low_at"]))
+
+    def raised(acc: Column) -> Column:
+        score = acc["lead"] - acc["low"]
+        more = score > acc["peak"]
+        return of(acc, peak=F.when(more, score).otherwise(acc["peak"]), **{"from": F.when(more, acc["low_at"]).otherwise(acc["from"]), "to": F.when(more, acc["i"]).otherwise(acc["to"])})
+
+    def ended(acc: Column) -> Column:
+        over = (acc["peak"] >= MIN_SCORE) & (acc["lead"] - acc["low"] <= acc["peak"] - MIN_SCORE)
+        again = of(acc, floor=acc["i"], low=F.lit(far), peak=F.lit(-far), found=closed(acc))
+        return F.when(over, again).otherwise(acc)
+
+    # one array element per step, so that each state is computed once
+    then = lambda acc, f: F.get(F.transform(F.array(acc), f), 0)
+    return F.aggregate(zipped, start, lambda acc, x: then(then(moved(acc, x), raised), ended), closed)
+
+
 def random_spans(text: Column, base: Column, weights: list[int]) -> Column:
-    """Spans of kind ``random`` that no span of ``base`` overlaps."""
+    """Spans of kind ``random``: whole runs that reach MIN_SCORE and that no span of ``base`` overlaps; of other runs
+    the segments outside base spans that reach it, up to the next of ``/ _ = -``."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
 
-    def score(token: Column) -> Column:
+    def steps(token: Column) -> Column:
         codes = F.transform(F.split(token, ""), F.ascii)
-        steps = F.zip_with(F.slice(F.concat(F.array(F.lit(0)), codes), F.lit(1), F.size(codes)), codes, lambda a, b: F.get(table, a * 128 + b))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, w: acc + w)
+        return F.zip_with(F.slice(F.concat(F.array(F.lit(0)), codes), F.lit(1), F.size(codes)), codes, lambda a, b: F.get(table, a * 128 + b))
+
+    meets = lambda bases, start, end: F.exists(bases, lambda b: (b["start"] < end) & (start < b["end"]))
+
+    def parts(s: Column, near: Column, weighed: Column) -> Column:
+        barred = F.transform(weighed, lambda w, k: F.when(meets(near, s["start"] + k, s["start"] + k + 1), F.lit(_BARRED)).otherwise(w))
+
+        def span(x: Column) -> Column:
+            before = F.regexp_extract(F.substring(s["token"], F.lit(1), x["from"]), "(?<![A-Za-z0-9+])[A-Za-z0-9+]*+$", 0)
+            after = F.regexp_extract(F.substring(s["token"], x["to"] + 1, F.length(s["token"])), "^[A-Za-z0-9+]*+", 0)
+            start, end = s["start"] + x["from"] - F.length(before), s["start"] + x["to"] + F.length(after)
+            start = F.when(meets(near, start, s["start"] + x["from"]), s["start"] + x["from"]).otherwise(start)
+            end = F.when(meets(near, s["start"] + x["to"], end), s["start"] + x["to"]).otherwise(end)
+            token = F.substring(s["token"], start - s["start"] + 1, end - start)
+            return F.struct(start.alias("start"), s["rank"].alias("rank"), end.alias("end"), token.alias("token"))
+
+        return F.array_distinct(F.transform(_segments(F.when(F.size(near) > 0, barred).otherwise(weighed)), span))
+
+    def run(s: Column) -> Column:
+        held = F.array(F.struct(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("near"), steps(s["token"]).alias("w")))
+        one = lambda x: F.when((F.size(x["near"]) == 0) & (F.aggregate(x["w"], F.lit(0).cast("long"), lambda acc, w: acc + w) >= MIN_SCORE), F.array(s)).otherwise(parts(s, x["near"], x["w"]))
+        return F.get(F.transform(held, one), 0)
 
-    alone = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = F.filter(_spans(text, "random", RANDOM, None), lambda s: alone(s) & (score(s["token"]) >= MIN_SCORE))
-    return F.when(text.rlike(RANDOM), found).otherwise(F.expr(_NONE))
+    return F.when(text.rlike(RANDOM), F.flatten(F.transform(_spans(text, "random", RANDOM, None), run))).otherwise(F.expr(_NONE))
 
 
 def _joined(spans: Column) -> Column:
