@@ -7,6 +7,12 @@ and held against templates by the Dice coefficient of the bags of word bigrams;
 with that coefficient are within t / (2 - t) of each other, and a passage that
 shares so many bigrams must hold one of a template's anchor words.
 
+With ``windows`` runs of words count as well, over line and paragraph breaks and
+within lines. The best ones begin and end with a bigram of the template and hold
+t / (2 - t) of its bigrams at least, so only those are tried. Of windows that
+overlap, that with most of its template's bigrams counts; it is left out where a
+passage that it overlaps matches the same template.
+
 Defined cases: null text counts as empty and matches nothing; a text of one word
 has no bigrams and matches nothing; of passages with equal scores the first,
 longest one counts, and of templates the first in the alphabet; whole texts of
@@ -89,6 +95,10 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str], least: float):
         self.least = Fraction(str(least))
         self.bags = sorted(((n, bigrams(t)) for n, t in templates.items()), key=lambda x: x[0])
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for t, (_, bag) in enumerate(self.bags):
+            for pair in bag:
+                self.holders.setdefault(pair, []).append(t)
         self.anchors = sorted({a for _, bag in self.bags for a in self._anchors(bag)})
         self.found = re.compile("|".join(map(re.escape, self.anchors))) if self.anchors else None
 
@@ -103,6 +113,54 @@ class Scanner:
             chosen.append(word)
         return chosen
 
+    def _windows(self, low: str) -> list[tuple[int, float, int, int, str]]:
+        """(-shared bigrams, -score, start, end, template) of the best window from each start that matches."""
+        words = list(_WORD.finditer(low))
+        pairs = [(a[0], b[0]) for a, b in zip(words, words[1:], strict=False)]
+        hits: dict[int, list[int]] = {}
+        for k, pair in enumerate(pairs):
+            for t in self.holders.get(pair, ()):
+                hits.setdefault(t, []).append(k)
+        out = []
+        for t, at in hits.items():
+            name, bag = self.bags[t]
+            m = bag.total()
+            needed, longest = math.ceil(m * self.least / (2 - self.least)), math.floor(m * (2 - self.least) / self.least)
+            for i, first in enumerate(at):
+                # so many hits within the longest window, or none from here can match
+                if i + needed > len(at) or at[i + needed - 1] - first >= longest:
+                    continue
+                left, shared, best = bag.copy(), 0, None
+                for last in at[i:]:
+                    n = last - first + 1
+                    if n > longest:
+                        break
+                    if left[pairs[last]] > 0:
+                        left[pairs[last]] -= 1
+                        shared += 1
+                        score = 2 * shared / (n + m)
+                        if score >= self.least and (best is None or score > best[1]):
+                            best = (shared, score, last)
+                if best:
+                    out.append((-best[0], -best[1], words[first].start(), words[best[2] + 1].end(), name))
+        return out
+
+    def with_windows(self, text: str | None) -> list[tuple[float, int, int, str]]:
+        """``matches``, and those of windows, by start, longest first."""
+        out = self.matches(text)
+        low = lowered(text or "")
+        if not any(a in low for a in self.anchors):
+            return out
+        taken: list[tuple[int, int]] = []
+        told = list(out)
+        for _, score, start, end, name in sorted(self._windows(low)):
+            if any(a < end and start < b for a, b in taken):
+                continue
+            taken.append((start, end))
+            if not any(n == name and a < end and start < b for _, a, b, n in told):
+                out.append((-score, start, end, name))
+        return sorted(out, key=lambda x: (x[1], -x[2], x[3]))
+
     def matches(self, text: str | None) -> list[tuple[float, int, int, str]]:
         """(score, start, end, template) of each passage that matches, its best template only."""
         low = lowered(text or "")
@@ -126,7 +184,7 @@ class Scanner:
         return out
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = MIN_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = MIN_DICE, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """(doc_id, license, dice, n_matches, matches) of every row.
 
     ``license`` and ``dice`` are of the best match, null where there is none;
@@ -139,7 +197,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = held.setdefault("", Scanner(templates, least))
         for batch in batches:
-            told = [scanner.matches(t.as_py()) for t in batch.column(1)]
+            told = [scanner.with_windows(t.as_py()) if windows else scanner.matches(t.as_py()) for t in batch.column(1)]
             best = [max(m, key=lambda x: (x[0], -x[1], x[2])) if m else None for m in told]
             columns = [
                 batch.column(0),

@@ -56,7 +56,7 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.licenses import scan
 
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,26 @@ def test_matches_brute_force(spark):
         found += bool(want)
     assert found > 60
     assert li.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_windows_over_breaks_and_within_lines(spark, tmp_path):
+    from lexiloom.llm.queries import op3_license_scans
+
+    prose = "prose about nothing at all\n" * 20
+    gpl, isc = (li.TEMPLATES[k].split() for k in ("GPL-3.0 header", "ISC"))
+    broken = lambda w: " ".join(w[: len(w) // 2]) + "\n\n" + " ".join(w[len(w) // 2 :])
+    texts = [
+        prose + broken(gpl) + "\n\n" + prose,
+        prose + broken(isc) + "\n\n" + prose,
+        "Copyright 2021 Ada Lovelace. Released under the MIT License.",
+        "The tool is small and quick. Licensed under CC BY-NC 4.0. See the site.",
+        broken(gpl) + " Parts are from elsewhere and of other origin. Released under the MIT License. And so on.",
+        "A driving license and the software of its author, with no warranties. " * 30,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op3_license_scans(spark, str(tmp_path)).collect()}
+    assert [got[k].license for k in range(6)] == ["GPL-3.0 header", "ISC", "MIT", "CC-BY-NC-4.0", "MIT", None]
+    assert all(got[k].dice == 1.0 for k in range(4))
+    name, start, end = got[2].matches.split(":")
+    assert texts[2][int(start) : int(end)] == "Released under the MIT License"
+    assert {m.split(":")[0] for m in got[4].matches.split(",")} == {"GPL-3.0 header", "MIT"}
