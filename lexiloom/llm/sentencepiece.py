@@ -123,14 +123,6 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def piece_bytes(model: Model) -> list[bytes]:
-    """The UTF-8 bytes that each id stands for, the marker as a space; control pieces and the unknown piece as they are named."""
-    out = []
-    for piece, _, kind in model.pieces:
-        out.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode("utf-8"))
-    return out
-
-
 def build_tokenizer(model: Model):
     """A ``tokenizers.Tokenizer`` that encodes and decodes as the model does."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -153,7 +145,8 @@ def build_tokenizer(model: Model):
     added = [AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if added:
         tokenizer.add_tokens(added)
-    parts = [decoders.Replace(MARK, " ")]
+    # never a prefix of its own: a first piece may hold several markers, and only one is the dummy prefix
+    parts = [decoders.Metaspace(replacement=MARK, prepend_scheme="never", split=False)]
     if model.byte_fallback:
         parts.append(decoders.ByteFallback())
     parts.append(decoders.Fuse())
@@ -167,7 +160,7 @@ _BUILT: dict[bytes, tuple] = {}
 
 
 def _built(raw: bytes, threads: int):
-    """(tokenizer, sentencepiece processor, bytes of the pieces) of a model, once per worker process."""
+    """(tokenizer, sentencepiece processor) of a model, once per worker process."""
     key = hashlib.sha256(raw).digest()
     if key not in _BUILT:
         # read when the library starts its threads
@@ -177,8 +170,7 @@ def _built(raw: bytes, threads: int):
 
         processor = sentencepiece.SentencePieceProcessor()
         processor.LoadFromSerializedProto(raw)
-        model = parse_model(raw)
-        _BUILT[key] = build_tokenizer(model), processor, piece_bytes(model)
+        _BUILT[key] = build_tokenizer(parse_model(raw)), processor
     return _BUILT[key]
 
 
@@ -196,13 +188,6 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _decoded(tokenizer, pieces: list[bytes], ids: list[list[int]], texts: list[str]) -> list[str]:
-    """The decoded texts. Where the pieces' bytes are the text's own, the decoder would return it, and isn't asked."""
-    same = [b"".join([pieces[i] for i in x]) == (b" " + t.encode("utf-8", "surrogatepass") if x else b"") for x, t in zip(ids, texts, strict=True)]
-    others = iter(tokenizer.decode_batch([x for x, ok in zip(ids, same, strict=True) if not ok], skip_special_tokens=False))
-    return [(t if x else "") if ok else next(others) for x, t, ok in zip(ids, texts, same, strict=True)]
-
-
 def _model_bytes(df: DataFrame, model: str):
     with open(model, "rb") as f:
         raw = f.read(MAX_MODEL_BYTES + 1)
@@ -224,16 +209,17 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         schema = schema.add("parity", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, processor, pieces = _built(raw.value, threads)
+        tokenizer, processor = _built(raw.value, threads)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(1).to_pylist()):
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = _decoded(tokenizer, pieces, ids, texts)
+                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
                 arrays = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())]
                 if parity:
                     other = processor.encode(texts, num_threads=threads)
-                    arrays.append(pa.array([a == b and processor.decode(b) == c for a, b, c in zip(ids, other, back, strict=True)], pa.bool_()))
+                    texts_of_other = processor.decode(other, num_threads=threads)
+                    arrays.append(pa.array([a == b and c == d for a, b, c, d in zip(ids, other, back, texts_of_other, strict=True)], pa.bool_()))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
