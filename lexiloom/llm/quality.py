@@ -6,13 +6,16 @@ on a log scale) is held against the minimum-covariance-determinant (MCD)
 estimate of its group of language and source; a squared Mahalanobis distance
 above the chi-squared quantile rejects the text.
 
-The MCD fit covers every text and runs as concentration steps in Spark: a scan
-of the vectors gives, per group and distance bin, counts, sums and products;
-the bins nearest the centre that hold at least the share ``support`` of the
-group give the next mean and covariance. Vectors are whole numbers (units of
+The MCD fit covers every text and runs as concentration steps in Spark, from
+three starts (median and deviation from it, spatial signs, plain moments): a scan
+of the vectors gives, per group and distance bin, counts, sums and products; the
+bins nearest the centre, the last of them in part, hold the share ``SUPPORT`` of
+the group and give the next mean and covariance. The start that ends with the
+least determinant counts, and is reweighted. Vectors are whole numbers (units of
 1/1024) with whole-number sums, so the result does not hang on the order of the
-rows. Groups below ``MIN_ROWS`` pool with the rest of their language, and those
-below it again with all the rest; texts of a pool below it pass this rule.
+rows. A group's estimate is drawn towards that of its language, and a language's
+towards that of all texts, by ``PRIOR_ROWS`` / (rows + ``PRIOR_ROWS``): groups of
+any size are judged by one rule.
 
 Defined cases: null text counts as empty, null language or source is a group of
 its own; texts without words fail the base rule and stay out of the fit;
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.shared import checkpointed, written
@@ -37,16 +40,22 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 UNIT = 1024
-MIN_ROWS = 100
+#: Rows that the estimate of the next larger group counts for.
+PRIOR_ROWS = 100
 SUPPORT = 0.75
 #: Chance that a regular text lies beyond the limit, if vectors were normal.
 TAIL = 1e-6
 MAX_STEPS = 15
-#: Least standard deviation of each part of the vector; shares are zero in most texts.
-FLOORS = (0.5, 0.08, 0.35, 0.9, 0.9)
-#: Groups whose parameters are broadcast (about 0.5 kB each); beyond, a shuffled join.
-MAX_BROADCAST_GROUPS = 20_000
-BINS = 8
+#: Least standard deviation of each part of the vector; shares are zero in most texts. A text in which nearly every line
+#: repeats, or words at the base rule's limit, lies beyond the limit by that part alone.
+FLOORS = (0.5, 0.08, 0.35, 0.7, 0.55)
+#: Of the floors' squares, added to every covariance, so that few or equal rows have one that can be inverted.
+RIDGE = 0.01
+#: Estimates that are collected and broadcast (about 0.5 kB each); beyond, they are checkpointed and joined by a shuffle.
+MAX_BROADCAST_GROUPS = 10_000
+#: Distance bins to a doubling.
+BINS = 16
+STARTS = ("median", "signs", "moments")
 PARTS = len(FLOORS)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _PAIRS = [(i, j) for i in range(PARTS) for j in range(i, PARTS)]
@@ -136,27 +145,57 @@ def consistency(share: float) -> float:
     return 1.0 if share >= 1 else share / chi2_cdf(chi2_quantile(share, PARTS), PARTS + 2)
 
 
-PARAMETERS = "fit_key string, size long, mean array<double>, precision array<double>, logdet double"
+KEY = "level int, lang string, source string"
+ESTIMATES = f"{KEY}, start string, size double, mean array<double>, cov array<double>, precision array<double>, logdet double"
+_SUMS = ["n", *(f"s{i}" for i in range(PARTS)), *(f"s{i}_{j}" for i, j in _PAIRS)]
 
 
-def _estimates(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and precision of each row's group, from its number, sums and products."""
+def _moments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) of a number of rows, their sums and their products."""
+    n, s, ss = sums[0], sums[1 : 1 + PARTS], sums[1 + PARTS :]
+    mean, cov = s / n, np.empty((PARTS, PARTS))
+    for (i, j), x in zip(_PAIRS, ss, strict=True):
+        cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
+    return mean / UNIT, cov / UNIT**2
+
+
+def _row(key: tuple, start: str, size: float, mean: np.ndarray, cov: np.ndarray) -> tuple:
     floors = np.array(FLOORS) ** 2
-    for frame in groups:
-        rows = []
-        for r in frame.to_dict("records"):
-            n = r["n"]
-            mean = np.array([r[f"s{i}"] for i in range(PARTS)], float) / n / UNIT
-            cov = np.empty((PARTS, PARTS))
-            for i, j in _PAIRS:
-                # exact in whole numbers, as the products are large against their differences
-                exact = int(r[f"s{i}_{j}"]) * int(n) - int(r[f"s{i}"]) * int(r[f"s{j}"])
-                cov[i, j] = cov[j, i] = exact / int(n) ** 2 / UNIT**2
-            cov *= consistency(n / r["size"])
-            cov[np.diag_indices(PARTS)] += np.maximum(0, floors - np.diag(cov))
-            precision = np.linalg.inv(cov)
-            rows.append((r["fit_key"], r["size"], mean.tolist(), [precision[i, j] for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1])))
-        yield pd.DataFrame(rows, columns=["fit_key", "size", "mean", "precision", "logdet"])
+    cov = cov + np.diag(np.maximum(0, floors - np.diag(cov)) + RIDGE * floors)
+    precision = np.linalg.inv(cov)
+    flat = lambda m: [float(m[i, j]) for i, j in _PAIRS]
+    return *key, start, float(size), mean.tolist(), flat(cov), flat(precision), float(np.linalg.slogdet(cov)[1])
+
+
+def _full(flat: list[float]) -> np.ndarray:
+    out = np.empty((PARTS, PARTS))
+    for (i, j), x in zip(_PAIRS, flat, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+_ESTIMATE_COLUMNS = [f.split()[0] for f in ESTIMATES.split(", ")]
+
+
+def _key_of(frame: pd.DataFrame) -> tuple:
+    return int(frame["level"].iloc[0]), *(None if pd.isna(x) else x for x in (frame["lang"].iloc[0], frame["source"].iloc[0]))
+
+
+def _concentrated(frame: pd.DataFrame) -> pd.DataFrame:
+    """The next estimate of one group and start, from its distance bins: the nearest ones, the last in part, up to the share SUPPORT."""
+    frame = frame.sort_values("bin")
+    n = frame["n"].to_numpy(float)
+    size = n.sum()
+    part = np.clip((math.ceil(SUPPORT * size) - (np.cumsum(n) - n)) / n, 0, 1)
+    sums = part @ frame[_SUMS].to_numpy(float)
+    mean, cov = _moments(sums)
+    return pd.DataFrame([_row(_key_of(frame), frame["start"].iloc[0], size, mean, cov * consistency(sums[0] / size))], columns=_ESTIMATE_COLUMNS)
+
+
+def _reweighted(frame: pd.DataFrame) -> pd.DataFrame:
+    """The estimate from the rows within the 0.975 quantile; the share that a normal group has there, not what was met: outliers must not widen it."""
+    mean, cov = _moments(frame[_SUMS].to_numpy(float).sum(axis=0))
+    return pd.DataFrame([_row(_key_of(frame), frame["start"].iloc[0], frame["size"].iloc[0], mean, cov * consistency(0.975))], columns=_ESTIMATE_COLUMNS)
 
 
 def _distance() -> Column:
@@ -167,56 +206,123 @@ def _distance() -> Column:
     return total
 
 
-def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(PARTS)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS)]
-
-
-def _fit_groups(vectors: DataFrame) -> DataFrame:
-    """(lang, source, fit_key): which estimate holds for a group; groups of pools below MIN_ROWS are left out."""
-    groups = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    rest = groups.where(F.col("n") < MIN_ROWS).groupBy("lang").agg(F.sum("n").alias("rest")).withColumnRenamed("lang", "rest_lang")
-    keyed = groups.join(rest, F.col("lang").eqNullSafe(F.col("rest_lang")), "left")
-    key = F.when(F.col("n") >= MIN_ROWS, F.concat(F.lit("group "), F.to_json(F.struct("lang", "source")))).when(F.col("rest") >= MIN_ROWS, F.concat(F.lit("rest "), F.to_json(F.struct("lang")))).otherwise("rest")
-    keyed = checkpointed(keyed.select("lang", "source", "n", key.alias("fit_key")))
-    large = keyed.groupBy("fit_key").agg(F.sum("n").alias("size")).where(F.col("size") >= MIN_ROWS)
-    return checkpointed(keyed.join(large, "fit_key").select("lang", "source", "fit_key"))
-
-
-def _join_small(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    """Null-safe join on lang and source; ``small`` is broadcast only below a checked number of rows."""
-    small = small.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    if small.count() <= MAX_BROADCAST_GROUPS:
-        small = F.broadcast(small)
-    on = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    return rows.join(small, on, how).drop("__lang", "__source")
-
-
-def fit(vectors: DataFrame) -> DataFrame:
-    """(lang, source, fit_key, mean, precision): the reweighted MCD estimate of each group of ``vectors`` (lang, source, x0, x1, ...)."""
-    keys = _fit_groups(vectors)
-    start = _join_small(vectors, keys).groupBy("fit_key").agg(F.count("*").alias("size"), *(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(PARTS)))
-    start = checkpointed(start)
-    spread = _join_small(vectors, checkpointed(keys.join(start, "fit_key"))).groupBy("fit_key", "size", *(f"m{i}" for i in range(PARTS))).agg(*(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i in range(PARTS)))
-    deviations = [F.greatest(1.4826 * F.col(f"d{i}") / UNIT, F.lit(FLOORS[i])) for i in range(PARTS)]
-    precision = F.array(*((1 / (deviations[i] * deviations[i]) if i == j else F.lit(0.0)) for i, j in _PAIRS))
-    now = checkpointed(spread.select("fit_key", "size", F.array(*(F.col(f"m{i}") / UNIT for i in range(PARTS))).alias("mean"), precision.alias("precision"), F.lit(math.inf).alias("logdet")))
-
-    by_bin = Window.partitionBy("fit_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(MAX_STEPS):
-        rows = _join_small(vectors, checkpointed(keys.join(now, "fit_key")))
-        bins = rows.withColumn("bin", F.floor(BINS * F.log2(_distance() + 2.0**-10)).cast("int")).groupBy("fit_key", "size", "bin").agg(*_sums())
-        near = bins.withColumn("before", F.sum("n").over(by_bin) - F.col("n")).where(F.col("before") < F.ceil(SUPPORT * F.col("size")))
-        sums = near.groupBy("fit_key", "size").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("fit_key", "size", "bin")))
-        after = checkpointed(sums.mapInPandas(_estimates, PARAMETERS))
-        moved = after.join(now.select("fit_key", F.col("logdet").alias("was")), "fit_key").where("not (abs(logdet - was) <= 1e-9)").isEmpty()
-        now = after
-        if moved:
-            break
-    rows = _join_small(vectors, checkpointed(keys.join(now, "fit_key")))
-    regular = rows.where(_distance() <= chi2_quantile(0.975, PARTS)).groupBy("fit_key", "size").agg(*_sums())
-    # the share that a normal group would have within this limit, not what was met: outliers must not widen it
-    regular = regular.withColumn("size", F.greatest("n", F.round(F.col("n") / 0.975).cast("long")))
-    return checkpointed(keys.join(regular.mapInPandas(_estimates, PARAMETERS), "fit_key").select("lang", "source", "fit_key", "mean", "precision"))
+def _sums(x: list[Column] | None = None) -> list[Column]:
+    x = x or [F.col(f"x{i}") for i in range(PARTS)]
+    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(PARTS)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _PAIRS)]
+
+
+def _settled(df: DataFrame, small: bool) -> tuple[DataFrame, list]:
+    """``df`` computed: rows on the driver if there are few, whose number is checked before, else a checkpoint."""
+    if not small:
+        return checkpointed(df), []
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
+
+
+def _joined(rows: DataFrame, told: DataFrame, small: bool, keys: tuple[str, ...] = ("level", "lang", "source"), how: str = "inner") -> DataFrame:
+    """Null-safe join; ``told`` is broadcast only if it was found to be small."""
+    told = told.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(F.broadcast(told) if small else told, on, how).drop(*(f"__{k}" for k in keys))
+
+
+def _levels(vectors: DataFrame) -> DataFrame:
+    """Each row for its group, its language and all texts."""
+    none = F.lit(None).cast("string")
+    keys = [F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source")) for level, lang, source in ((2, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (0, none, none))]
+    return vectors.select(F.explode(F.array(*keys)).alias("k"), *(f"x{i}" for i in range(PARTS))).select("k.*", *(f"x{i}" for i in range(PARTS)))
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """(key, start, mean, precision) of each start; only the order of distances matters."""
+    by = ["level", "lang", "source"]
+    median = _settled(rows.groupBy(*by).agg(*(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(PARTS))), small)[0]
+    off = _joined(rows, median, small)
+    deviation = off.groupBy(*by, *(f"m{i}" for i in range(PARTS))).agg(*(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i in range(PARTS)))
+    spread = [F.greatest(1.4826 * F.col(f"d{i}") / UNIT, F.lit(FLOORS[i])).alias(f"d{i}") for i in range(PARTS)]
+    scale = _settled(deviation.select(*by, *((F.col(f"m{i}") / UNIT).alias(f"m{i}") for i in range(PARTS)), *spread), small)[0]
+    scaled = _joined(rows, scale, small)
+    z = [(F.col(f"x{i}") / float(UNIT) - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(PARTS)]
+    norm = F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))
+    signs = scaled.select(*by, *(F.when(norm > 0, F.round(UNIT * x / norm)).otherwise(0).cast("long").alias(f"z{i}") for i, x in enumerate(z)), *(f"x{i}" for i in range(PARTS)))
+    both = [*_sums(), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"z{i}_{j}") for i, j in _PAIRS)]
+    told = _joined(signs.groupBy(*by).agg(*both), scale, small)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for at in range(len(frame)):
+                r = frame.iloc[at : at + 1]
+                key, size = _key_of(r), float(r["n"].iloc[0])
+                m, d = (r[[f"{c}{i}" for i in range(PARTS)]].to_numpy(float)[0] for c in "md")
+                mean, cov = _moments(r[_SUMS].to_numpy(float)[0])
+                shape = _full(r[[f"z{i}_{j}" for i, j in _PAIRS]].to_numpy(float)[0] / size / UNIT**2) * np.outer(d, d) * PARTS
+                out += [_row(key, "median", size, m, np.diag(d * d)), _row(key, "signs", size, m, shape), _row(key, "moments", size, mean, cov)]
+            yield pd.DataFrame(out, columns=_ESTIMATE_COLUMNS)
+
+    return _settled(told.mapInPandas(run, ESTIMATES), small)[0]
+
+
+def _drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a group's estimate with those of its language and of all texts: each drawn towards the next."""
+
+    def mixed(size: float, mean: np.ndarray, cov: np.ndarray, above: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w, off = size / (size + PRIOR_ROWS), mean - above[0]
+        return w * mean + (1 - w) * above[0], w * cov + (1 - w) * above[1] + w * (1 - w) * np.outer(off, off)
+
+    for frame in frames:
+        out = []
+        for r in frame.to_dict("records"):
+            own, lang, every = ((r[f"size{k}"], np.array(r[f"mean{k}"], float), _full(r[f"cov{k}"])) for k in (2, 1, 0))
+            mean, cov = mixed(*own, mixed(*lang, every[1:]))
+            precision = np.linalg.inv(cov)
+            key = (None if pd.isna(x) else x for x in (r["lang"], r["source"]))
+            out.append((*key, mean.tolist(), [float(precision[i, j]) for i, j in _PAIRS]))
+        yield pd.DataFrame(out, columns=["lang", "source", "mean", "precision"])
+
+
+def mcd(rows: DataFrame, small: bool) -> DataFrame:
+    """ESTIMATES, one for each key (level, lang, source) of ``rows``: the start with the least determinant, reweighted."""
+    by = ["level", "lang", "source"]
+    now = _starts(rows, small)
+    done = now.where("false")
+    for k in range(MAX_STEPS):
+        bins = _joined(rows, now, small).withColumn("bin", F.floor(BINS * F.log2(_distance() + 2.0**-10)).cast("int")).groupBy(*by, "start", "bin").agg(*_sums())
+        after, told = _settled(bins.groupBy(*by, "start").applyInPandas(_concentrated, ESTIMATES), small)
+        was = now.select(*by, "start", F.col("logdet").alias("was"))
+        step = _joined(after, was, False, (*by, "start"))
+        # starts have no determinant of so many rows yet
+        still = (F.col("was") - F.col("logdet") > 1e-9) if k else F.lit(True)
+        if small:  # a few rows on the driver: no job
+            before = {tuple(r[c] for c in (*by, "start")): r.logdet for r in now.collect()}
+            going = [r for r in told if not k or before[tuple(r[c] for c in (*by, "start"))] - r.logdet > 1e-9]
+            names = {tuple(r[c] for c in (*by, "start")) for r in going}
+            spark = rows.sparkSession
+            done = spark.createDataFrame(done.collect() + [r for r in told if tuple(r[c] for c in (*by, "start")) not in names], after.schema)
+            now = spark.createDataFrame(going, after.schema)
+            if not going:
+                break
+        else:
+            done = checkpointed(done.unionByName(step.where(~still).drop("was")))
+            now = checkpointed(step.where(still).drop("was"))
+            if now.isEmpty():
+                break
+    every = done.unionByName(now)
+    best = every.groupBy(*by).agg(F.min_by(F.struct("start", "size", "mean", "precision"), F.struct("logdet", "start")).alias("b")).select(*by, "b.*")
+    regular = _joined(rows, _settled(best, small)[0], small).where(_distance() <= chi2_quantile(0.975, PARTS)).groupBy(*by, "start", "size").agg(*_sums())
+    return _settled(regular.groupBy(*by).applyInPandas(_reweighted, ESTIMATES), small)[0]
+
+
+def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """(lang, source, mean, precision) of each group of ``vectors`` (lang, source, x0, x1, ...), and whether they are few."""
+    small = vectors.select("lang", "source").distinct().count() <= MAX_BROADCAST_GROUPS // len(STARTS) // 2
+    told = mcd(_levels(vectors), small)
+    level = lambda k: told.where(F.col("level") == k).select("lang", "source", *(F.col(c).alias(f"{c}{k}") for c in ("size", "mean", "cov")))
+    both = _joined(level(2), level(1).drop("source"), small, ("lang",))
+    full = _joined(both.withColumn("one", F.lit(0)), level(0).drop("lang", "source").withColumn("one", F.lit(0)), small, ("one",)).drop("one")
+    return _settled(full.mapInPandas(_drawn, "lang string, source string, mean array<double>, precision array<double>"), small)[0], small
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep_text: bool) -> DataFrame:
@@ -226,10 +332,10 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep
     own = [c for c in rows.columns if c not in names]
     lang, source = F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")
     rows = rows.select(F.struct(*own).alias("row"), *(F.col(f"__{n}").alias(n) for n in COUNTS), lang, source, *_vector(names))
-    fitted = fit(rows.where("n_words > 0").select("lang", "source", *(f"x{i}" for i in range(PARTS))))
+    fitted, small = fit(rows.where("n_words > 0").select("lang", "source", *(f"x{i}" for i in range(PARTS))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     regular = F.col("mean").isNull() | (_distance() <= chi2_quantile(1 - TAIL, PARTS))
-    return _join_small(rows, fitted, "left").select("row", *COUNTS, failed.alias("base_failed"), (~failed & regular).alias("kept"))
+    return _joined(rows, fitted, small, ("lang", "source"), "left").select("row", *COUNTS, failed.alias("base_failed"), (~failed & regular).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

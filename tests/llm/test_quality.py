@@ -1,7 +1,8 @@
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -48,70 +49,64 @@ def test_chi2():
     assert abs(q.chi2_cdf(9.4877, 4) - 0.95) < 1e-5
 
 
-def brute_kept(rows):
-    """The same estimate, over plain lists."""
-    vectors, groups = {}, defaultdict(list)
-    for k, row in enumerate(rows):
-        nw, ch, sy, du, rp, nl = plain_counts(row[1])
-        share = lambda a, b: math.log1p(100.0 * a / max(b, 1))
-        x = [math.log(max(nw, 1)), math.log(max(ch, 1) / max(nw, 1)), share(sy, ch), share(du, nl), share(rp, nw)]
-        vectors[k] = np.array([math.floor(1024 * v + 0.5) for v in x])
-        if nw:
-            groups[row[2], row[3]].append(k)
-    pools = defaultdict(list)
-    rest = defaultdict(list)
-    for (lang, source), ks in groups.items():
-        if len(ks) >= q.MIN_ROWS:
-            pools[lang, source] += ks
-        else:
-            rest[lang] += ks
-    for lang, ks in rest.items():
-        pools["rest" if len(ks) < q.MIN_ROWS else ("rest", lang)] += ks
-    kept = {}
-    floors = np.array(q.FLOORS)
-
-    def estimate(x, share):
-        mean, cov = x.mean(0), np.cov(x.T, bias=True) * q.consistency(share)
-        cov[np.diag_indices(5)] += np.maximum(0, floors**2 - np.diag(cov))
-        return mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-
-    dist = lambda x, m, p: np.einsum("ki,ij,kj->k", x - m, p, x - m)
-    for ks in pools.values():
-        x = np.array([vectors[k] for k in ks]) / 1024
-        if len(x) < q.MIN_ROWS:
-            kept |= dict.fromkeys(ks, True)
-            continue
-        m = np.median(x, 0)
-        d = np.maximum(1.4826 * np.median(abs(x - m), 0), floors)
-        p, was = np.diag(1 / d**2), math.inf
-        for _ in range(q.MAX_STEPS):
-            bins = np.floor(q.BINS * np.log2(dist(x, m, p) + 2.0**-10))
-            order = np.sort(bins)
-            near = bins <= order[math.ceil(q.SUPPORT * len(x)) - 1]
-            m, p, now = estimate(x[near], near.mean())
-            stop, was = abs(now - was) <= 1e-9, now
-            if stop:
-                break
-        regular = dist(x, m, p) <= q.chi2_quantile(0.975, 5)
-        m, p, _ = estimate(x[regular], regular.sum() / max(regular.sum(), math.floor(regular.sum() / 0.975 + 0.5)))
-        kept |= dict(zip(ks, dist(x, m, p) <= q.chi2_quantile(1 - q.TAIL, 5), strict=True))
-    return kept
-
-
-def test_matches_brute_force(spark):
+def exact_mcd(x, h):
+    """Mean and covariance of the h rows with the least determinant, by trying all subsets."""
+    subsets = np.array(list(combinations(range(len(x)), h)))
+    rows = x[subsets] - x[subsets].mean(1, keepdims=True)
+    best = x[subsets[np.linalg.det(np.einsum("kni,knj->kij", rows, rows)).argmin()]]
+    return best.mean(0), np.cov(best.T, bias=True)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_agrees_with_exact_mcd(spark, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(20, 5)) @ r.normal(size=(5, 5)) * 3 + r.normal(size=5)
+    x[:3] += 60 * r.normal(size=5)  # a clump far away, which moves the plain mean
+    x = np.round(1024 * x)
+    rows = spark.createDataFrame([(0, None, None, *map(int, v)) for v in x], "level int, lang string, source string, " + ", ".join(f"x{i} long" for i in range(5)))
+    told = q.mcd(rows, True).collect()
+    assert len(told) == 1
+    d = lambda mean, cov: np.einsum("ki,ij,kj->k", x / 1024 - mean, np.linalg.inv(cov), x / 1024 - mean)
+    mean, cov = exact_mcd(x / 1024, 15)
+    near = x[d(mean, cov * q.consistency(0.75)) <= q.chi2_quantile(0.975, 5)] / 1024
+    far = d(near.mean(0), np.cov(near.T, bias=True) * q.consistency(0.975)) > q.chi2_quantile(1 - q.TAIL, 5)
+    got = d(np.array(told[0].mean), q._full(told[0]["cov"])) > q.chi2_quantile(1 - q.TAIL, 5)
+    assert set(np.nonzero(far)[0]) == set(np.nonzero(got)[0]) >= {0, 1, 2}
+
+
+def test_checkpointed_fit_agrees(spark, monkeypatch):
+    docs = spark.createDataFrame(make(n=60), SCHEMA)
+    monkeypatch.setattr(q, "MAX_STEPS", 2)
+    one = sorted(map(str, q.quality_rules(docs).collect()))
+    monkeypatch.setattr(q, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(map(str, q.quality_rules(docs).collect())) == one
+
+
+def test_base_columns_and_verdicts(spark):
     rows = make()
-    got = sorted((tuple(r) for r in q.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
-    kept = brute_kept(rows)
-    want = []
-    for k, row in enumerate(rows):
+    r = random.Random(3)
+    fresh = lambda k: " ".join("".join(r.choices("abcdeéßñ", k=r.randint(1, 9))) for _ in range(k))
+    planted = {
+        950: "\n".join(x for lines in [[fresh(2) for _ in range(20)]] for _ in range(8) for x in r.sample(lines, 20)),  # nearly every line repeats
+        951: fresh(100) + " " + (p := fresh(22)) + " " + fresh(8) + " " + p,  # 29 % repeated words
+        952: " ".join(w + "%%%" for w in fresh(120).split()),
+        953: " ".join(w * 9 for w in fresh(120).split()),
+    }
+    rows += [(k, t, "en", s, "clash", "clash", "clash", 1, 2) for k, t in planted.items() for s in ("a", f"seen once {k % 2}")[: 1 + (k > 951)]]
+    got = sorted((tuple(x) for x in q.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    base = []
+    for row in rows:
         c = plain_counts(row[1])
-        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
-        want.append((row[0], *c[:5], failed, bool(not failed and kept[k])))
-    assert got == sorted(want, key=str)
-    junk = [w for w, r in zip(want, rows, strict=True) if "%%%" in (r[1] or "") and not w[6]]
-    clean = [w for w, r in zip(want, rows, strict=True) if r[0] is not None and r[0] < 900 and r[0] % 25 and r[0] % 40 != 3 and not w[6]]
-    assert junk and not any(w[7] for w in junk)
-    assert clean and all(w[7] for w in clean)
+        base.append((row[0], *c[:5], c[0] < 20 or 100 * c[4] > 30 * c[0]))
+    assert [x[:7] for x in got] == sorted(base, key=str)
+    kept = {x[0]: x[7] for x in got}
+    failed = {x[0]: x[6] for x in got}
+    assert not any(x[7] for x in got if x[6])
+    assert all(not failed[k] for k in planted) and not any(kept[k] for k in planted)
+    junk = [x for x in rows if "%%%" in (x[1] or "")]
+    clean = [x[0] for x in rows if x[0] is not None and x[0] < 900 and x[0] % 25 and x[0] % 40 != 3 and not failed[x[0]]]
+    assert junk and not any(kept[x[0]] for x in junk)
+    assert clean and all(kept[k] for k in clean)
 
 
 def test_keep_clean_keeps_columns(spark):
