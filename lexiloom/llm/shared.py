@@ -1,56 +1,25 @@
 """Plumbing that the operators of this subpackage share.
 
-* scratch tables and checkpoints in the folder that the cluster names in
-  ``spark.checkpoint.dir`` (all executors see it, so a lost executor costs no data);
+* scratch tables and checkpoints (``lexiloom.session``) in the folder that the cluster
+  names in ``spark.checkpoint.dir``: all executors see it, so a lost one costs no data;
 * contiguous groups out of sorted Arrow batches;
 * connected components by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import checkpointed, shared_dir, written  # noqa: F401
+
 #: The words of the contracts: runs of anything but space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch data: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests, a laptop) a temporary folder is set as the
-    context's checkpoint folder, once.
-    """
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(place)
-        return place.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: no lineage, columns prunable."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, after making sure that a shared folder is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of rows that follow each other with one value of ``key``.
 
