@@ -2,8 +2,8 @@
 
 Word counts are summed over cells of source, language and topic. Raking scales
 the cells in turn until each margin has its target share of the tokens; a
-cell's weight is its raked share over its own share, trimmed at ``MAX_WEIGHT``,
-and a document's chance is its cell's weight over the largest one. A document
+cell's weight is its raked share over its own share, and a document's chance is
+its cell's weight over the largest one, so that chances meet the margins. A document
 is sampled if a number from 0 to 1, drawn from the SHA-256 of the seed and its
 id, is below its chance.
 
@@ -15,11 +15,13 @@ Defined cases: null text has no tokens; null source, language or topic is a
 value of its own; a cell without tokens has weight 0 and chance 1 (it costs
 nothing); a null id draws by its text; rows with one id draw one number; an
 empty table gives an empty table; other columns are ignored (``sample`` passes
-them through). Margins that cannot be met together end at the last round.
+them through). Margins that cannot be met together end at the last round, with a
+warning that says how far off they are.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,10 +31,9 @@ from lexiloom.llm.shared import WORD_PATTERN, checkpointed, written
 
 MARGINS = ("source", "lang", "topic")
 TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.5, "lang": 0.8, "topic": 0.9}
-MAX_WEIGHT = 2.5
 SEED = "mix"
 #: Rounds that are always run, and those of each further step while a margin is off by more than TOLERANCE.
-ROUNDS, STEP, MAX_ROUNDS, TOLERANCE = 20, 5, 40, 1e-6
+ROUNDS, STEP, MAX_ROUNDS, TOLERANCE = 20, 5, 200, 1e-6
 #: Cells that one task handles (about 0.1 kB each); beyond, the rounds are shuffled.
 MAX_CELLS_IN_TASK = 100_000
 #: topic -> what a text of that topic holds; the first that fits counts, else ``OTHER``.
@@ -95,7 +96,9 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] =
             for m in MARGINS:
                 now = _fitted(now, m, small)
         now, done = checkpointed(now), done + STEP
-    weight = F.least(F.col("share") * float(total) / F.col("tokens"), F.lit(MAX_WEIGHT))
+    if done >= MAX_ROUNDS and (off := _off(now, small)) > TOLERANCE:
+        warnings.warn(f"after {done} rounds a margin is off its target share by {off:.3g}", stacklevel=2)
+    weight = F.col("share") * float(total) / F.col("tokens")
     weighed = now.select(*MARGINS, F.round(weight, 6).alias("weight"))
     largest = weighed.agg(F.max("weight")).first()[0] or 1.0
     full = cells.join(weighed, list(MARGINS), "left")

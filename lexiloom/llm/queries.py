@@ -115,7 +115,7 @@ docs AS MATERIALIZED (SELECT doc_id, source, lang, '=' || CASE {topic} ELSE '{m.
 cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM docs GROUP BY ALL), {wants},
 r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM cells) AS share FROM cells WHERE tokens > 0),
 {', '.join(steps)},
-weighed AS (SELECT source, lang, topic, round(least(share * (SELECT sum(tokens) FROM cells) / tokens, {m.MAX_WEIGHT}), 6) AS weight FROM {last})
+weighed AS (SELECT source, lang, topic, round(share * (SELECT sum(tokens) FROM cells) / tokens, 6) AS weight FROM {last})
 SELECT doc_id, substr(topic, 2) AS topic, n_tokens, coalesce(weight, 0.0) AS weight, coalesce(round(weight / (SELECT max(weight) FROM weighed), 6), 1.0) AS chance,
   draw < coalesce(round(weight / (SELECT max(weight) FROM weighed), 6), 1.0) AS sampled FROM docs LEFT JOIN weighed USING (source, lang, topic)"""
 

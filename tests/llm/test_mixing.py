@@ -52,7 +52,7 @@ def brute(rows, targets):
                     have = sum(x for k, x in share.items() if k[d] == v)
                     share |= {k: x * want[d][v] / have for k, x in share.items() if k[d] == v}
         done += m.STEP
-    weight = {k: round(min(share[k] * total / cells[k], m.MAX_WEIGHT), 6) for k in share}
+    weight = {k: round(share[k] * total / cells[k], 6) for k in share}
     top = max(weight.values())
     out = []
     for r, k, t in zip(rows, keys, tokens, strict=True):
@@ -78,7 +78,19 @@ def test_matches_brute_force(spark):
 
 def test_margins_are_met(spark):
     rows = make()
-    _, want, share = brute(rows, m.TARGETS)
+    told, want, share = brute(rows, m.TARGETS)
+    # what the query's own chances keep on average, by margin, is in proportion to the targets
+    got = {}
+    keys = {(r[0], r[1]): (r[2], r[3]) for r in rows}
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    for r in m.mix(docs).collect():
+        source, lang = keys[rows[r.doc_id][:2]]
+        for d, v in enumerate((source, lang, r.topic)):
+            got[d, v] = got.get((d, v), 0) + r.n_tokens * r.chance
+    for d in range(3):
+        total = sum(x for (k, _), x in got.items() if k == d)
+        for v, w in want[d].items():
+            assert abs(got[d, v] / total - w) < 1e-3
     for d in range(3):
         for v, w in want[d].items():
             assert abs(sum(x for k, x in share.items() if k[d] == v) - w) < 1e-3
