@@ -8,6 +8,12 @@ equality join brings candidates together, and the join condition verifies the
 distance. The first segment that qualifies (and its first position, where the
 segments are equal) alone reports a pair, so no pair comes twice.
 
+Such a key has about 20 bits, so that candidates grow with the square of the
+fingerprints. Beyond ``SECOND_KEY_FROM`` of them a second exact key is added: a
+pair that differs in at most one bit of a segment differs in at most four of the
+other bits, so of five parts that those are cut into one is equal. Keys then
+have about 29 bits, and either plan finds the same pairs.
+
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero, which links like any other; a null id takes part, and is never the
 smallest of a component unless it holds nothing else; repeated rows stay
@@ -32,6 +38,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: First bit of each segment, and the end.
 CUTS = (0, 21, 42, 64)
+#: Distinct fingerprints from which five times the index rows cost less than the candidates they save.
+SECOND_KEY_FROM = 16_000_000
 #: Hashes that one numpy pass holds; below 65,536, as the lanes count in 16 bits.
 PASS = 60_000
 
@@ -105,37 +113,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "row_id long, text_hash long, fp long")
 
 
-def _variants(fps: DataFrame, name: str) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) * (mask >> 63)
+
+
+def _bits(begin: int, end: int) -> int:
+    return (1 << end) - (1 << begin)
+
+
+def _parts(segment: int, number: int) -> list[int]:
+    """Masks of the parts that the bits outside a segment are cut into."""
+    outside = [b for b in range(64) if not CUTS[segment] <= b < CUTS[segment + 1]]
+    cuts = [k * len(outside) // number for k in range(number + 1)]
+    return [sum(1 << b for b in outside[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _variants(fps: DataFrame, name: str, parts: int) -> DataFrame:
+    """(p, part, key, name): the fingerprint's variants, each once for every part of the second key (one, empty, if ``parts`` is 0)."""
     fp, p = F.col("fp"), F.col("p")
     one = F.expr("shiftleft(1L, p)")
     value: Column = F.lit(None)
     for begin, end in zip(CUTS, CUTS[1:], strict=False):
         segment = F.shiftrightunsigned(fp.bitwiseAND(F.bitwise_not(one)), begin).bitwiseAND(F.lit((1 << (end - begin)) - 1))
         value = F.when((p >= begin) & (p < end), segment).otherwise(value)
-    key = (p * (1 << 22) + value.cast("int")).cast("int")
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(key.alias("key"), F.col("fp").alias(name))
-
-
-def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    key = p * (1 << 22) + value.cast("int")
+    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    if not parts:
+        return spread.select(key.cast("int").alias("key"), F.col("fp").alias(name))
+    held: Column = F.lit(None)
+    for s in range(len(CUTS) - 1):
+        here = F.array(*(F.struct(F.lit(k).alias("part"), fp.bitwiseAND(F.lit(_signed(m))).alias("rest")) for k, m in enumerate(_parts(s, parts))))
+        held = F.when((p >= CUTS[s]) & (p < CUTS[s + 1]), here).otherwise(held)
+    return spread.select(key.cast("int").alias("key"), F.explode(held).alias("x"), F.col("fp").alias(name)).select("key", "x.part", "x.rest", name)
+
+
+def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, second_key: bool | None = None) -> DataFrame:
     """(a, b), a < b: pairs of distinct values of ``fp`` that differ in 1 to ``max_bits`` bits, each once.
 
-    Exact for ``max_bits`` up to 5 (three segments, one wildcard).
+    Exact for ``max_bits`` up to 5 (three segments, one wildcard), with the second key or without (None: by their number).
     """
     if not 0 < max_bits <= 5:
         raise ValueError("three segments with one wildcard find up to 5 differing bits")
     distinct = fps.select("fp").where("fp is not null").distinct()
-    left, right = _variants(distinct, "a"), _variants(distinct, "b")
+    if second_key is None:
+        second_key = distinct.count() >= SECOND_KEY_FROM
+    parts = max_bits + 1 if second_key else 0
+    left, right = _variants(distinct, "a", parts), _variants(distinct, "b", parts)
     differ = F.col("a").bitwiseXOR(F.col("b"))
     p = F.shiftright("key", 22)
     first: Column = F.lit(False)
     before: Column = F.lit(True)
-    for begin, end in zip(CUTS, CUTS[1:], strict=False):
-        mask = ((1 << end) - (1 << begin)) & 0xFFFFFFFFFFFFFFFF
-        mask -= (1 << 64) * (mask >> 63)
-        here = F.bit_count(differ.bitwiseAND(F.lit(mask)))
-        first = first | (before & (p >= begin) & (p < end) & ((here == 1) | (p == begin)))
+    for s, (begin, end) in enumerate(zip(CUTS, CUTS[1:], strict=False)):
+        here = F.bit_count(differ.bitwiseAND(F.lit(_signed(_bits(begin, end)))))
+        own = (p >= begin) & (p < end) & ((here == 1) | (p == begin))
+        if parts:  # the first part that is equal
+            found: Column = F.lit(None).cast("int")
+            for k, m in reversed(list(enumerate(_parts(s, parts)))):
+                found = F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, k).otherwise(found)
+            own = own & (F.col("part") == found)
+        first = first | (before & own)
         before = before & (here > 1)
-    return left.hint("merge").join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first).select("a", "b")
+    keys = ["key", "part", "rest"] if parts else ["key"]
+    return left.hint("merge").join(right, keys).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first).select("a", "b")
 
 
 def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

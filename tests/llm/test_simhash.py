@@ -70,6 +70,8 @@ def test_links_find_every_pair_within_the_distance(spark):
     want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 4}
     assert want and got == want
     assert linked_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long")).count() == len(want)
+    both = linked_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), second_key=True).collect()
+    assert len(both) == len(want) and {tuple(r) for r in both} == want
 
 
 def test_keep_one(spark, rows):
