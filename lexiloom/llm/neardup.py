@@ -141,13 +141,13 @@ def _best(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("age").alias("age")).withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).drop("rank")
 
 
-def _joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidate edges: at each node, the pairs among its neighbours either way."""
+def _joined(nodes: DataFrame, edges: DataFrame, turn: int = 0) -> DataFrame:
+    """Candidate edges: at each node, the pairs among its neighbours either way, in sets that each ``turn`` deals anew."""
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-1.5).cast("float")).alias("worst"))
     own = edges.select("u", F.col("u").alias("v")).distinct()
     members = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(own).distinct()
     sizes = members.groupBy("u").agg(F.ceil(F.count("*") / JOIN_SET).alias("sets"))
-    spread = members.join(sizes, "u").withColumn("part", F.pmod(F.xxhash64("u", "v"), F.col("sets")))
+    spread = members.join(sizes, "u").withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.col("sets")))
     told = nodes.select(F.col("node").alias("v"), "half").join(worst.withColumnRenamed("u", "v"), "v", "left")
     rows = spread.join(told, "v").select("u", "part", "v", F.coalesce("worst", F.lit(-1.5).cast("float")).alias("worst"), "half")
 
@@ -177,8 +177,8 @@ def descend(nodes: DataFrame, edges: DataFrame | None = None, seed: int = 0) ->
     if edges is not None:
         new = new.unionByName(edges.withColumn("age", F.lit(0)))
     now = written(_best(new), "neighbours")
-    for _ in range(MAX_ROUNDS):
-        more = _joined(nodes, now.select("u", "v", "sim")).withColumn("age", F.lit(1))
+    for k in range(MAX_ROUNDS):
+        more = _joined(nodes, now.select("u", "v", "sim"), seed * MAX_ROUNDS + k).withColumn("age", F.lit(1))
         now = written(_best(now.withColumn("age", F.lit(0)).unionByName(more)), "neighbours")
         changed, total = now.agg(F.sum("age"), F.count("*")).first()
         if (changed or 0) <= SETTLED * total:
@@ -351,20 +351,24 @@ def audit_recall(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHO
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
+    """(vec_id, n_links, component_id, kept, audit_recall), one row per row of ``vectors``.
+
+    ``audit_recall``: share of the audited nodes' links that were found, the same in every row; 1 after an exact pass.
+    """
     nodes, rows = nodes_of(vectors, id_col, vector_col, label_col)
     edges = None
     for attempt in range(MAX_ATTEMPTS):
         edges = descend(nodes, edges, attempt)
         counts, members = link_counts(nodes, edges, threshold)
-        if audit_recall(nodes, counts, threshold) >= MIN_RECALL:
+        recall = audit_recall(nodes, counts, threshold)
+        if recall >= MIN_RECALL:
             break
     else:
-        counts, members = exact_counts(nodes, threshold)
+        (counts, members), recall = exact_counts(nodes, threshold), 1.0
     least = members.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = members.join(least, "component").select("node", "component_id")
     full = nodes.join(counts, "node", "left").join(linked, "node", "left")
     full = full.select("grp", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     used = rows.where("usable").join(full, ["grp", "vector"]).select("vec_id", "n_links", "component_id")
     other = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return used.unionByName(other).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return used.unionByName(other).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
