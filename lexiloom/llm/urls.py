@@ -3,9 +3,10 @@
 A rule fits its host and all subdomains where the path starts with the rule's;
 the longest rule decides. Other urls take the verdict of their host. Hosts link
 by the absolute links of their pages; relative links point at the host itself.
-Trust is personalised PageRank along the links from hosts of which rules allow
-at least the share ``SEED_SHARE`` of pages; distrust runs against the links from
-hosts of which they block as much. A host is blocked where distrust exceeds trust by ``THRESHOLD``.
+Trust is personalised PageRank along the links, each host a seed by the share of
+its pages that rules allow; distrust runs against the links, from hosts by the
+share that they block. A host is blocked where distrust exceeds trust by
+``THRESHOLD``, so one on which rules block few pages is not blocked as a whole.
 
 Defined cases: a url that is null or without ``://`` has empty host and path,
 no rule, and is allowed for want of evidence; null html has no links; repeated
@@ -25,9 +26,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Rules become one expression; a longer list would have to be joined.
 MAX_RULES = 1000
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
-THRESHOLD = 0.01
-#: Share of a host's pages that rules must allow (block) for the host to be a seed.
-SEED_SHARE = 0.5
+THRESHOLD = 0.1
 LINK = r"""(?:[hH][rR][eE][fF]|[sS][rR][cC])\x20*=\x20*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<>\x00-\x20]+)"""
 RELATIVE = r"""(?:[hH][rR][eE][fF]|[sS][rR][cC])\x20*=\x20*["']?/[^/]"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,7 +94,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict})
     judged = written(rows.drop("html"), "urls")
-    share = lambda v: (F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0)) >= SEED_SHARE).cast("double")
+    share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     edges = checkpointed(host_edges(rows.select("host", "html")))
     scores = propagate(edges, checkpointed(seeds))

@@ -60,8 +60,8 @@ def brute(pages):
             score = new
         return score
 
-    t = spread({h: float(trust[h] / n[h] >= u.SEED_SHARE) for h in n}, edges)
-    d = spread({h: float(distrust[h] / n[h] >= u.SEED_SHARE) for h in n}, {(b, a): w for (a, b), w in edges.items()})
+    t = spread({h: trust[h] / n[h] for h in n}, edges)
+    d = spread({h: distrust[h] / n[h] for h in n}, {(b, a): w for (a, b), w in edges.items()})
     out = []
     for host, path, rule, v, _ in rows:
         a, b = round(t.get(host, 0), 6), round(d.get(host, 0), 6)
