@@ -39,6 +39,8 @@ SYMBOLS = 65
 MAX_SAMPLES = 20_000
 KINDS = (*BASE, "random")
 MASK = "[SECRET]"
+#: Matches of one text that are placed in one go.
+BLOCK = 256
 
 _WORDS = """
 access account action active add address admin agent alert align amount analysis and answer api append application apply area array article
@@ -111,6 +113,11 @@ def default_weights(spark: SparkSession) -> list[int]:
     return fit(spark.createDataFrame(default_samples(), "token string, label string"))
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _spans(text: Column, kind: str, pattern: str, counted: Column | None) -> Column:
     """Array of (start, rank, end, text) of the matches of ``pattern``, whose texts have the lengths ``counted`` or the match's."""
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -124,7 +131,20 @@ def _spans(text: Column, kind: str, pattern: str, counted: Column | None) -> Col
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("token")))
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
-    found = F.aggregate(zipped, empty, step, lambda acc: acc["found"])
+    length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+    spans_of = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty["found"].alias("found")), step, lambda acc: acc["found"])
+
+    def blocked(all_: Column) -> Column:
+        # an array grows by copying: in blocks, the work is in proportion to the matches
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+        def placed(parts: Column) -> Column:
+            starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + length(block))))
+            return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), spans_of))
+
+        return _once(blocks, placed)
+
+    found = _once(zipped, lambda all_: F.when(F.size(all_) <= BLOCK, spans_of(all_, F.lit(0))).otherwise(blocked(all_)))
     if counted is None:
         return found
     return F.filter(F.transform(F.arrays_zip(found.alias("s"), counted.alias("g")), lambda x: F.when(F.length(x["g"]) >= BASE[kind][2], x["s"])), lambda s: s.isNotNull())
@@ -171,9 +191,7 @@ def _segments(steps: Column) -> Column:
         again = of(acc, floor=acc["i"], low=F.lit(far), peak=F.lit(-far), found=closed(acc))
         return F.when(over, again).otherwise(acc)
 
-    # one array element per step, so that each state is computed once
-    then = lambda acc, f: F.get(F.transform(F.array(acc), f), 0)
-    return F.aggregate(zipped, start, lambda acc, x: then(then(moved(acc, x), raised), ended), closed)
+    return F.aggregate(zipped, start, lambda acc, x: _once(_once(moved(acc, x), raised), ended), closed)
 
 
 def random_spans(text: Column, base: Column, weights: list[int]) -> Column:

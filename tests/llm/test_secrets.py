@@ -87,6 +87,12 @@ def test_spans_match_brute_force(docs, weights):
     assert "random" in got[7].spans
 
 
+def test_many_spans_in_one_text(spark, weights, monkeypatch):
+    text = " ".join(f"token{'=' if k % 3 else ': '}abcdef{k}é" for k in range(3000)) + " 0123456789abcdef01234567"
+    got = s.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), weights).collect()[0]
+    assert got.n_assign == 3000 and got.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in plain_spans(text, weights)[1])
+
+
 def test_random_parts_of_runs(spark, weights):
     first, second = "q7Xk2mVb9TzR4wLp8NcY3hJd", "Zp5Gt8KwQ2nDx7RvB4yMc9Lf"
     paths = ["com/account/session/reset/", "com/services/account/settings/notification/confirm/"]
