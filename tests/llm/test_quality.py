@@ -49,6 +49,51 @@ def test_chi2():
     assert abs(q.chi2_cdf(9.4877, 4) - 0.95) < 1e-5
 
 
+def brute_kept(rows):
+    """The rule over plain lists, with concentration steps that sort all distances."""
+    vectors, groups = {}, {}
+    for k, row in enumerate(rows):
+        nw, ch, sy, du, rp, nl = plain_counts(row[1])
+        share = lambda a, b: math.log1p(100.0 * a / max(b, 1))
+        x = [math.log(max(nw, 1)), math.log(max(ch, 1) / max(nw, 1)), share(sy, ch), share(du, nl), share(rp, nw)]
+        vectors[k] = np.array([math.floor(1024 * v + 0.5) for v in x]) / 1024
+        if nw:
+            for key in ((2, row[2], row[3]), (1, row[2]), (0,)):
+                groups.setdefault(key, []).append(k)
+    floors = np.array(q.FLOORS)
+    plain = lambda x, share: (x.mean(0), safe(np.cov(x.T, bias=True) * q.consistency(share)))
+    safe = lambda c: c + np.diag(np.maximum(0, floors**2 - np.diag(c)) + q.RIDGE * floors**2)
+    dist = lambda x, m, c: np.einsum("ki,ij,kj->k", x - m, np.linalg.inv(c), x - m)
+
+    def estimate(x):
+        m = np.median(x, 0)
+        d = np.maximum(1.4826 * np.median(abs(x - m), 0), floors)
+        z = (x - m) / d
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        signs = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+        ends = []
+        for m, c in ((m, safe(np.diag(d**2))), (m, safe(signs.T @ signs / len(x) * np.outer(d, d) * 5)), (x.mean(0), safe(np.cov(x.T, bias=True)))):
+            h = math.ceil(q.SUPPORT * len(x))
+            for _ in range(q.MAX_STEPS):
+                m, c = plain(x[np.argsort(dist(x, m, c), kind="stable")[:h]], h / len(x))
+            ends.append((np.linalg.slogdet(c)[1], m, c))
+        _, m, c = min(ends, key=lambda e: e[0])
+        return len(x), *plain(x[dist(x, m, c) <= q.chi2_quantile(0.975, 5)], 0.975)
+
+    told = {key: estimate(np.array([vectors[k] for k in ks])) for key, ks in groups.items()}
+
+    def drawn(own, above):
+        w, off = own[0] / (own[0] + q.PRIOR_ROWS), own[1] - above[0]
+        return w * own[1] + (1 - w) * above[0], w * own[2] + (1 - w) * above[1] + w * (1 - w) * np.outer(off, off)
+
+    kept = {}
+    for key, ks in groups.items():
+        if key[0] == 2:
+            m, c = drawn(told[key], drawn(told[1, key[1]], told[0,][1:]))
+            kept |= dict(zip(ks, dist(np.array([vectors[k] for k in ks]), m, c) <= q.chi2_quantile(1 - q.TAIL, 5), strict=True))
+    return kept
+
+
 def exact_mcd(x, h):
     """Mean and covariance of the h rows with the least determinant, by trying all subsets."""
     subsets = np.array(list(combinations(range(len(x)), h)))
