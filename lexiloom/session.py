@@ -74,12 +74,13 @@ def ship(spark: SparkSession) -> None:
     if context.master.split("[")[0] == "local":
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        name = f"{folder}/{os.path.basename(top)}.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for place, _, files in os.walk(top):
-                for f in sorted(files):
-                    if f.endswith(".py"):
-                        full = os.path.join(place, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        context.addPyFile(name)
+    folder = tempfile.mkdtemp(prefix="lexiloom-")  # the driver serves the file from here for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{os.path.basename(top)}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for place, _, files in os.walk(top):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(place, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(name)
