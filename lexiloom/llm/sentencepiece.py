@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,8 +141,9 @@ def build_tokenizer(model: Model):
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.add_dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
+    # turns spaces into markers one by one, where normalizers.Replace runs a regular expression; the text stays in one piece
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=False)
     added = [AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if added:
         tokenizer.add_tokens(added)
@@ -174,18 +176,17 @@ def _built(raw: bytes, threads: int):
     return _BUILT[key]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, few enough at once for bounded memory."""
-    held: list[str] = []
-    size = 0
-    for text in texts:
-        if held and (len(held) == BATCH_TEXTS or size + len(text) > BATCH_CHARS):
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
+def _chunks(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in order, few enough at once for bounded memory: the column as a whole never becomes Python strings."""
+    sizes = pc.utf8_length(column).to_pylist()
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin == BATCH_TEXTS or size + n > BATCH_CHARS):
+            yield column.slice(begin, i - begin).to_pylist()
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield column.slice(begin).to_pylist()
 
 
 def _model_bytes(df: DataFrame, model: str):
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         tokenizer, processor = _built(raw.value, threads)
         for batch in batches:
             at = 0
-            for texts in _chunks(batch.column(1).to_pylist()):
+            for texts in _chunks(batch.column(1)):
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 back = tokenizer.decode_batch(ids, skip_special_tokens=False)
                 arrays = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())]
