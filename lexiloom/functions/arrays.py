@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiloom.symbols import EPSILON, EQUIVALENT, JOINER, PAD
+from lexiloom.functions.text import strip_phoneset_stress
+from lexiloom.symbols import EPSILON, EQUIVALENT, JOINER, PAD, SPLITS, canonical_locale, joins_for
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -24,7 +25,7 @@ def join_tokens(tokens: Column, patterns: list[tuple[str, ...]]) -> Column:
     """
     if not patterns:
         return tokens
-    options = "|".join(" ".join(map(re.escape, p)) for p in sorted(patterns, key=lambda p: (-len(p), p)))
+    options = "|".join(" ".join(map(re.escape, p)) for p in sorted(patterns, key=lambda p: -len(" ".join(p))))
     text = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     marked = F.regexp_replace(text, f" ({options})(?= )", " ⟨$1⟩")
     joined = F.regexp_replace(marked, " (?=[^⟨⟩]*⟩)", JOINER)
@@ -36,6 +37,22 @@ def uncook(tokens: Column) -> Column:
     return F.flatten(F.transform(F.filter(tokens, lambda t: t != EPSILON), lambda t: F.split(t, JOINER)))
 
 
+def cook_phones(phones: Column, locale: str = "default", phoneset: str = "ipa", remove_stress: bool = False) -> Column:
+    """Phones apart, without stress marks of the phone set if asked for, and joined by the locale's patterns."""
+    apart = F.transform(phones, lambda p: F.replace(p, F.lit(JOINER), F.lit(" ")))
+    if remove_stress:
+        apart = F.transform(apart, lambda p: strip_phoneset_stress(p, phoneset))
+    tokens = F.filter(F.split(F.array_join(apart, " "), " "), lambda t: t != "")
+    return join_tokens(tokens, joins_for(locale, phoneset))
+
+
+def split_tokens(phones: Column, locale: str) -> Column:
+    """Phones that the locale's phone set lists apart, apart."""
+    told = SPLITS.get(canonical_locale(locale), {})
+    out = lambda p: F.coalesce(*(F.when(p == old, F.array(*map(F.lit, new))) for old, new in told.items()), F.array(p))
+    return F.flatten(F.transform(phones, out)) if told else phones
+
+
 def context_windows(letters: Column, width: int = 7) -> Column:
     """For each letter the array of the ``width`` letters around it, padded."""
     half = width // 2
@@ -110,24 +127,42 @@ def phones_match(predicted: Column, expected: Column, gold: Column, locale: str
     return exact | ((F.size(predicted) == F.size(expected)) & (matches_in_place(predicted, expected, locale) == F.size(expected)))
 
 
-def _last(phones: Column, old: str, new: str) -> Column:
-    n = F.size(phones)
-    return F.when(F.element_at(phones, -1) == old, F.concat(F.slice(phones, F.lit(1), n - 1), F.array(F.lit(new)))).otherwise(phones)
+def _last(phones: Column, old: tuple[str, ...], new: str) -> Column:
+    """``phones`` with the last one replaced if it is one of ``old``."""
+    ends = F.concat(F.slice(phones, F.lit(1), F.size(phones) - 1), F.array(F.lit(new)))
+    return F.when((F.size(phones) > 0) & F.get(phones, F.size(phones) - 1).isin(*old), ends).otherwise(phones)
+
+
+def _mapped(phones: Column, pairs: dict[str, str]) -> Column:
+    return F.transform(phones, lambda p: F.coalesce(*(F.when(p == old, new) for old, new in pairs.items()), p))
+
+
+_MID = dict(zip("ɛɔ", "eo", strict=True))
+
+
+def _plain_o(word: Column) -> Column:
+    """Ends in o, with no nasal vowel before it and no accented o anywhere."""
+    return F.endswith(word, F.lit("o")) & ~word.rlike("[ãõ]o$") & ~word.rlike("[óôõÓÔÕ]")
+
+
+def _surface_final(word: Column, phones: Column) -> Column:
+    return F.when(_plain_o(word), _last(phones, ("o", "ʊ"), "u")).otherwise(phones)
 
 
-def _after(word: Column, phones: Column, pairs: dict[str, str], unless: str) -> Column:
-    swapped = phones
-    for old, new in pairs.items():
-        swapped = F.transform(swapped, _to(old, new))
-    return F.when(word.rlike(unless), phones).otherwise(swapped)
+def _do_du(word: Column, phones: Column) -> Column:
+    out = _surface_final(word, phones)
+    fits = F.endswith(word, F.lit("do")) & (F.get(out, F.size(out) - 2) == "d")
+    return F.when(F.coalesce(fits, F.lit(False)), _last(out, ("o", "ʊ"), "u")).otherwise(out)
 
 
 #: Named policies (word, phones) -> phones that training phones may pass first.
 POLICIES = {
     "identity": lambda word, phones: phones,
-    "collapse_open": lambda word, phones: F.transform(phones, lambda p: F.when(p == "ɛ", "e").when(p == "ɔ", "o").otherwise(p)),
-    "spelling_gated": lambda word, phones: _after(word, phones, dict(zip("ɛɔ", "eo", strict=True)), "[èò]"),
-    "surface_final": lambda word, phones: F.when(F.size(phones) == 0, phones).otherwise(_last(_last(phones, "o", "u"), "e", "i")),
-    "do_du": lambda word, phones: F.when(word.rlike("do$") & (F.size(phones) > 1), _last(phones, "o", "u")).otherwise(phones),
-    "citation_expand": lambda word, phones: F.flatten(F.transform(phones, lambda p: F.when(p == "ʊ", F.array(F.lit("u"))).when(p == "ɪ", F.array(F.lit("i"))).otherwise(F.array(p)))),
+    "collapse_open": lambda word, phones: _mapped(phones, _MID),
+    "spelling_gated": lambda word, phones: F.when(word.rlike("[èÈòÒ]"), phones).otherwise(_mapped(phones, _MID)),
+    "surface_final": _surface_final,
+    "do_du": _do_du,
+    "citation_expand": lambda word, phones: F.when(_plain_o(word), _last(phones, ("u",), "o")).otherwise(phones),
 }
+#: The policies of each locale's experiments.
+LOCALE_POLICIES = {"it_IT": ("identity", "spelling_gated", "collapse_open"), "pt_BR": ("identity", "surface_final", "do_du", "citation_expand")}

@@ -13,10 +13,17 @@ from lexiloom.symbols import EPSILON, JOINER, STRESSED_VOWELS, UNIT
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column | str) -> Column:
+    """Normal form C. Code points below U+0300 are in it already, so only texts with others go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.when(other, _composed(F.when(other, text))).otherwise(text)
+
+
 @F.pandas_udf(StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """Without combining marks: decomposed, marks dropped, composed."""
@@ -46,12 +53,12 @@ def strip_phoneset_stress(phone: Column, phoneset: str) -> Column:
 
 
 def filter_stress(phones: Column, keep: str = "1", mark_unstressed: bool = False) -> Column:
-    """Stress digits other than those of ``keep`` go; vowels left without one get 0 if asked for."""
+    """Stress digits other than those of ``keep`` go; if asked for, a vowel gets 0 in place of a digit that goes."""
 
     def one(p: Column) -> Column:
         bare = F.regexp_replace(p, "[012]$", "")
-        left = F.when(p.rlike(f"[{keep}]$"), p).otherwise(bare)
-        return F.when(left.isin(*STRESSED_VOWELS), F.concat(left, F.lit("0"))).otherwise(left) if mark_unstressed else left
+        left = F.when(bare.isin(*STRESSED_VOWELS), F.concat(bare, F.lit("0"))).otherwise(bare) if mark_unstressed else bare
+        return F.when(~p.rlike("[012]$") | p.rlike(f"[{keep}]$"), p).otherwise(left)
 
     return F.transform(phones, one)
 
@@ -74,8 +81,22 @@ def raw_tokens(text: Column) -> Column:
 
 
 def normal_tokens(text: Column) -> Column:
-    """Tokens without punctuation, symbols, controls, marks and separators at their edges."""
-    return F.filter(F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, EDGE, "")), lambda t: t != "")
+    """Tokens of the composed text without punctuation, symbols, controls, marks and separators at their edges."""
+    return F.filter(F.transform(F.split(nfc(text), r"\s+"), lambda t: F.regexp_replace(t, EDGE, "")), lambda t: t != "")
+
+
+_QUOTES, _DASHES = "‘’❛❜‛`‚❟ʼ", r"\p{Pd}"
+_SPELLED = {"🙰": "et", "Æ": "Ae", "æ": "ae", "Œ": "Oe", "œ": "oe", "ᵫ": "ue", **{c: v for k, v in {"ꜨTz": "tz", "ꜲAa": "aa", "ꜴAo": "ao", "ꜶAu": "au", "ꜸAv": "av", "ꜺAv": "av", "ꝎOo": "oo", "ꝠVy": "vy"}.items() for c, v in ((k[0], k[1:]), (chr(ord(k[0]) + 1), v))}, "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+
+
+def plain_symbols(text: Column) -> Column:
+    """Quotes as ', dashes as -, full-width forms as ASCII, ligatures spelled out, composed."""
+    wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
+    text = F.translate(text, wide + _QUOTES, "".join(chr(k) for k in range(0x21, 0x7F)) + "'" * len(_QUOTES))
+    text = F.regexp_replace(text, _DASHES, "-")
+    for old, new in _SPELLED.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return nfc(text)
 
 
 def letters_only(text: Column) -> Column:

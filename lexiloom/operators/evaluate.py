@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import POLICIES, edit_distance, matches_in_place, phones_match
@@ -55,10 +55,19 @@ def audit_policy(entries: DataFrame, policy: str) -> DataFrame:
     return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum((F.col("phones") != F.col("after")).cast("int")), F.lit(0)).alias("changed_entries"), F.coalesce(F.sum(differ), F.lit(0)).alias("changed_phones"))
 
 
+LENGTH_PENALTY = 0.5
+
+
+def closeness(predicted: Column, phones: Column) -> Column:
+    """Places in which two pronunciations agree, less half the difference of their lengths; -1 at least."""
+    off = F.abs(F.size(predicted) - F.size(phones))
+    return F.greatest(F.lit(-1.0), matches_in_place(predicted, phones) - LENGTH_PENALTY * off)
+
+
 def closest_variant(variants: DataFrame) -> DataFrame:
-    """(word, closest): of a word's variants that which agrees with ``predicted`` in most places, the first of equal ones."""
-    key = F.struct(F.col("same"), (-F.col("variant")).alias("first"))
-    return variants.withColumn("same", matches_in_place(F.col("predicted"), F.col("phones"))).groupBy("word").agg(F.max_by(F.array_join("phones", " "), key).alias("closest"))
+    """(word, closest): of a word's variants that closest to ``predicted``, the first of equal ones."""
+    key = F.struct(F.col("close"), (-F.col("variant")).alias("first"))
+    return variants.withColumn("close", closeness(F.col("predicted"), F.col("phones"))).groupBy("word").agg(F.max_by(F.array_join("phones", " "), key).alias("closest"))
 
 
 def exceptions(variants: DataFrame) -> DataFrame:
@@ -72,3 +81,14 @@ def compare(results: DataFrame) -> DataFrame:
     wide = results.groupBy("locale").pivot("model", ["one", "many"]).agg(F.first("per"))
     delta = F.round(F.col("one") - F.col("many"), 4)
     return wide.select("locale", F.col("one").alias("per_one"), F.col("many").alias("per_many"), F.when(delta > 0, "many").when(delta < 0, "one").otherwise("tie").alias("winner"), delta.alias("delta"))
+
+
+def worst_words(rows: DataFrame, n: int = 20) -> DataFrame:
+    """(word, mismatches) of the ``n`` wrong words with most mismatches, then by word."""
+    off = F.greatest(F.size("phones"), F.size("predicted")) - matches_in_place(F.col("predicted"), F.col("phones"))
+    return rows.where(F.col("phones") != F.col("predicted")).select("word", off.alias("mismatches")).orderBy(F.desc("mismatches"), "word").limit(n)
+
+
+def most_common(counts: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` rows with the largest ``n``; ties by the other columns."""
+    return counts.orderBy(F.desc("n"), *(c for c in counts.columns if c != "n")).limit(n)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import unit_letters, unit_phones
-from lexiloom.symbols import BEGIN, END, EPS, EPSILON, JOINER, UNIT
+from lexiloom.symbols import BEGIN, END, EPS, EPSILON, JOINER, UNIT, joins_for
 
 MAX_UNITS = 2_000_000
 PRUNE = 1e-8
@@ -144,6 +144,8 @@ def fit_units(entries: DataFrame, span_l: int = 2, span_p: int = 2, iterations:
     q, told = _collected(initial_units(pairs, span_l, span_p)), []
     for _ in range(iterations):
         rows = e_step(pairs, q, span_l, span_p).limit(MAX_UNITS + 2).collect()
+        if len(rows) > MAX_UNITS + 1:
+            raise ValueError(f"more than {MAX_UNITS} units can't be broadcast; prune more")
         told.append(next((r["count"] for r in rows if r.unit is None), 0.0))
         counts = {r.unit: r["count"] for r in rows if r.unit is not None}
         if not counts:
@@ -182,19 +184,30 @@ def join_candidates(q: DataFrame, side: str = "letters", min_size: int = 2, min_
     return rows.groupBy(F.array_join(side, " ").alias("tokens")).agg(F.sum("prob").alias("mass")).where(F.col("mass") >= min_mass)
 
 
-def join_report(q: DataFrame, side: str = "letters", min_size: int = 2, top: int = 20) -> DataFrame:
-    """(tokens, total_mass, modal_match, modal_confidence, alternatives): what each join candidate stands for."""
+def join_report(q: DataFrame, side: str = "letters", min_prob: float = 0.0, top: int = 20) -> DataFrame:
+    """(tokens, total_mass, modal_match, modal_confidence, alternatives): what each join candidate stands for.
+
+    A candidate is a ``side`` longer than what it stands for: two letters for one
+    phone, or two phones for one letter. ``alternatives``: up to four (tokens, mass).
+    """
     other = "phones" if side == "letters" else "letters"
-    rows = top_units(q).where(F.size(side) >= min_size).select(F.array_join(side, " ").alias("tokens"), F.array_join(other, " ").alias("match"), "prob")
+    rows = top_units(q).where(F.size(side) > F.size(other)).select(F.array_join(side, " ").alias("tokens"), F.array_join(other, " ").alias("match"), "prob")
     rank = F.row_number().over(Window.partitionBy("tokens").orderBy(F.desc("prob"), "match"))
-    ranked = rows.withColumns({"rank": rank, "total": F.sum("prob").over(Window.partitionBy("tokens"))}).where("rank <= 5")
+    ranked = rows.withColumns({"rank": rank, "total": F.sum("prob").over(Window.partitionBy("tokens"))}).where((F.col("rank") <= 5) & (F.col("total") >= min_prob))
     told = ranked.groupBy("tokens").agg(
         F.first("total").alias("total_mass"),
         F.max(F.when(F.col("rank") == 1, F.col("match"))).alias("modal_match"),
         F.max(F.when(F.col("rank") == 1, F.col("prob") / F.col("total"))).alias("modal_confidence"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "match")))).alias("alternatives"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "match", "prob")))).alias("alternatives"),
     )
-    return told.withColumn("alternatives", F.transform("alternatives", lambda x: x["match"])).orderBy(F.desc("total_mass"), "tokens").limit(top)
+    return told.withColumn("alternatives", F.transform("alternatives", lambda x: F.struct(x["match"].alias("tokens"), x["prob"].alias("mass")))).orderBy(F.desc("total_mass"), "tokens").limit(top)
+
+
+def nontrivial_units(q: DataFrame, locale: str = "default", phoneset: str = "ipa", min_prob: float = 1e-5) -> DataFrame:
+    """Units with two or more letters or phones, likeliest first, and whether the locale's joins list their sides."""
+    rows = top_units(q, min_prob=min_prob).where((F.size("letters") >= 2) | (F.size("phones") >= 2))
+    listed = lambda side, kind: F.array_join(side, " ").isin([" ".join(p) for p in joins_for(locale, kind)])
+    return rows.withColumns({"letters_joined": listed("letters", "letters"), "phones_joined": listed("phones", phoneset)})
 
 
 def segment(words: DataFrame, q: DataFrame, span_l: int = 2) -> DataFrame:
@@ -241,8 +254,8 @@ class NgramModel:
     def log_prob(self, history: tuple[str, ...], unit: str) -> float:
         for k in range(min(self.order - 1, len(history)), 0, -1):
             seen = self.n.get(history[-k:], 0)
-            if seen and self.n.get((*history[-k:], unit), 0):
-                return math.log((self.n[(*history[-k:], unit)] + self.add_k) / (seen + self.add_k * self.size))
+            if seen:
+                return math.log((self.n.get((*history[-k:], unit), 0) + self.add_k) / (seen + self.add_k * self.size))
         return math.log((self.n.get((unit,), 0) + self.add_k) / (self.total + self.add_k * self.size))
 
 

@@ -23,7 +23,7 @@ def combine(scores: Column, method: str = "geometric") -> Column:
 def phone_scores(dists: Column, phones: Column) -> Column:
     """For each given phone the highest probability that any position gives it."""
     every = F.flatten(dists)
-    return F.transform(phones, lambda p: F.coalesce(F.array_max(F.transform(F.filter(every, lambda d: d["phone"] == p), lambda d: d["prob"])), F.lit(0.0)))
+    return F.transform(phones, lambda p: F.aggregate(every, F.lit(0.0), lambda best, d: F.when(d["phone"] == p, F.greatest(best, d["prob"])).otherwise(best)))
 
 
 def zero_scored(scored: DataFrame) -> DataFrame:
@@ -43,23 +43,57 @@ def score_gaps(scored: DataFrame, high: float = 0.1, low: float = 0.01) -> DataF
     return rows.withColumn("ratio", F.when(F.col("worst") > 0, F.col("best") / F.col("worst")).otherwise(float("inf")))
 
 
-def classify(word: Column, score: Column, best: Column) -> Column:
-    """What kind of doubt a scored variant raises; the first rule that fits."""
+FUNCTION_WORDS = "of the to is was were have has had".split()
+
+
+def classify(word: Column, phones: Column, score: Column) -> Column:
+    """Why a low-scored variant is in doubt: spelled-out or title abbreviation, function word, foreign name, or to be reviewed."""
+    low = F.lower(word)
+    letters, n = F.length(F.regexp_replace(low, "[^a-z]", "")), F.size(phones)
     return (
-        F.when(score == 0, "ZERO")
-        .when(word.rlike(r"[^a-z']"), "FOREIGN")
-        .when(F.length(word) <= 2, "SHORT")
-        .when(word.rlike("'s?$"), "POSSESSIVE")
-        .when((best > 0) & (score < best * 0.1), "REDUCED")
-        .when(score < 0.01, "LOW")
-        .otherwise("OK")
+        F.when(score == 0, "ABBREV")
+        .when((letters <= 4) & (n > letters * 1.5), "ABBREV")
+        .when(low.rlike(r"^(mr|dr|jr|sr|st)\.?$"), "ABBREV")
+        .when(low.isin(*FUNCTION_WORDS), "FUNCTION")
+        .when(low.rlike("^xia|^zh[aeiou]|iao$|^qia|^qiu"), "FOREIGN")
+        .when(low.rlike("^mc[a-z]|^mac[a-z]"), "FOREIGN")
+        .otherwise("REVIEW")
     )
 
 
-def triage(variants: DataFrame) -> DataFrame:
-    """(word, pron, score) with best and category; a hot word is pre-aggregated."""
-    best = variants.groupBy("word").agg(F.max("score").alias("best"))
-    return variants.join(best, "word").withColumn("category", classify(F.col("word"), F.col("score"), F.col("best")))
+def triage(variants: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """(word, phones, score, ...) with best and category; words of under two letters a-z go, and scores from ``threshold`` on are OK."""
+    best = variants.groupBy("word").agg(F.max("score").alias("best"))  # pre-aggregated, whatever a word's number of variants
+    rows = variants.where(F.length(F.regexp_replace(F.lower("word"), "[^a-z]", "")) >= 2).join(best, "word")
+    return rows.withColumn("category", F.when(F.col("score") >= threshold, "OK").otherwise(classify(F.col("word"), F.col("phones"), F.col("score"))))
+
+
+def triage_order(rows: DataFrame) -> DataFrame:
+    """By category: OK best first, others worst first, then by word."""
+    return rows.orderBy("category", F.when(F.col("category") == "OK", -F.col("score")).otherwise(F.col("score")), "word")
+
+
+def score_lexicon(entries: DataFrame, dists: str = "dists", method: str = "geometric") -> DataFrame:
+    """Entries (word, phones, dists, predicted) with ``score`` and ``flag``: = where the model says the same, else !."""
+    score = combine(phone_scores(F.col(dists), F.col("phones")), method)
+    return entries.withColumns({"score": score, "flag": F.when(F.col("phones") == F.col("predicted"), "=").otherwise("!")})
+
+
+def score_variants(scored: DataFrame) -> DataFrame:
+    """(word, prons): all variants of each word with their scores, best first."""
+    one = F.struct((-F.col("score")).alias("neg"), F.array_join("phones", " ").alias("pron"))
+    told = scored.groupBy("word").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    return told.select("word", F.transform("x", lambda v: F.struct(v["pron"].alias("pron"), (-v["neg"]).alias("score"))).alias("prons"))
+
+
+def select_scored(scored: DataFrame, threshold: float | None = None, top: int | None = None, bottom: int | None = None) -> DataFrame:
+    """Rows under a threshold, or the best or worst few; ties by word."""
+    if threshold is not None:
+        scored = scored.where(F.col("score") < threshold)
+    if top is not None:
+        return scored.orderBy(F.desc("score"), "word").limit(top)
+    rows = scored.orderBy("score", "word")
+    return rows if bottom is None else rows.limit(bottom)
 
 
 def rank_changes(variants: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.arrays import context_windows, uncook
 from lexiloom.session import checkpointed
-from lexiloom.symbols import EPSILON
+from lexiloom.symbols import EPSILON, JOINER
 
 MAX_DEPTH = 60
 #: Nodes that a predictor may collect and broadcast (about 0.2 kB each).
 MAX_NODES = 1_000_000
+MAX_LETTERS = 100_000
 
 
 def _impurity(n: Column, total: Column, criterion: str) -> Column:
@@ -99,7 +100,9 @@ def prune(tree: DataFrame, validation: DataFrame, features: list[str] | None = N
         below = level.select("node", "subtree")
     stops = set(cut)
     alive, todo = set(), [1]
-    known = {r.node for r in nodes.select("node").limit(MAX_NODES).collect()}
+    known = {r.node for r in nodes.select("node").limit(MAX_NODES + 1).collect()}
+    if len(known) > MAX_NODES:
+        raise ValueError(f"a tree of more than {MAX_NODES} nodes can't be pruned on the driver")
     while todo:
         k = todo.pop()
         if k in known:
@@ -163,13 +166,26 @@ def distributions(words: DataFrame, tree: DataFrame, width: int = 7) -> DataFram
     return words.withColumn("dists", walk("letters"))
 
 
-def predicted(dists: Column) -> Column:
-    """The likeliest phone of each position, joined tokens apart."""
-    return uncook(F.transform(dists, lambda d: F.get(d, 0)["phone"]))
+def vocabulary(vectors: DataFrame, width: int = 7) -> list[str]:
+    """The letters that the middle of a training window held; an alphabet, so it is collected."""
+    rows = vectors.select(f"c{width // 2}").distinct().limit(MAX_LETTERS + 1).collect()
+    if len(rows) > MAX_LETTERS:
+        raise ValueError(f"more than {MAX_LETTERS} letters")
+    return sorted(r[0] for r in rows)
+
+
+def predicted(dists: Column, letters: Column | None = None, known: list[str] | None = None) -> Column:
+    """The likeliest phone of each position, joined tokens apart; letters that aren't ``known`` are silent."""
+    best = F.transform(dists, lambda d: F.get(d, 0)["phone"])
+    if known is not None:
+        best = F.zip_with(letters, best, lambda c, p: F.when(c.isin(known), p).otherwise(EPSILON))
+    return uncook(best)
 
 
 def confidences(dists: Column) -> Column:
-    return F.transform(F.filter(dists, lambda d: F.get(d, 0)["phone"] != EPSILON), lambda d: F.get(d, 0)["prob"])
+    """The probability of each predicted phone; each phone of a joined token has the token's."""
+    spoken = F.filter(F.transform(dists, lambda d: F.get(d, 0)), lambda d: d["phone"] != EPSILON)
+    return F.flatten(F.transform(spoken, lambda d: F.array_repeat(d["prob"], F.size(F.split(d["phone"], JOINER)))))
 
 
 def nbest(dists: Column, n: int = 5) -> Column:
@@ -186,9 +202,12 @@ def nbest(dists: Column, n: int = 5) -> Column:
 
 
 def with_exceptions(words: DataFrame, exceptions: DataFrame, model_phones: str = "predicted") -> DataFrame:
-    """``words`` with ``phones``: a listed pronunciation first, else the model's."""
+    """``words`` with ``phones``: a listed pronunciation first, else any model's; ``confidences``, if there, are 1 for listed ones."""
     listed = exceptions.select(F.col("word").alias("__w"), F.col("phones").alias("listed"))
-    return words.join(listed, F.lower("word") == F.col("__w"), "left").withColumn("phones", F.coalesce("listed", model_phones)).drop("__w", "listed")
+    rows = words.join(listed, F.lower("word") == F.col("__w"), "left").withColumn("phones", F.coalesce("listed", model_phones))
+    if "confidences" in words.columns:
+        rows = rows.withColumn("confidences", F.when(F.col("listed").isNotNull(), F.transform("listed", lambda _: F.lit(1.0))).otherwise(F.col("confidences")))
+    return rows.drop("__w", "listed")
 
 
 def windows_of(entries: DataFrame, width: int = 7) -> DataFrame:

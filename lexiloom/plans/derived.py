@@ -1,6 +1,6 @@
 """A lexicon derived from the driver's documents, in Spark and as SQL for DuckDB.
 
-Words are runs of a-z of 2 to 12 letters. Rules give each word a first
+Words are runs of a-z, of any length. Rules give each word a first
 pronunciation (digraphs, x and qu expansions, silent h and final e), and a
 second one where th or a final e allow another. Both engines give equal rows.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.session import written
+
 RULES = [("sch", "S"), ("ch", "C"), ("sh", "S"), ("th", "T"), ("ph", "f"), ("ck", "k"), ("qu", "kw"), ("x", "ks"), ("h", "")]
 SECOND = [("sch", "S"), ("ch", "C"), ("sh", "S"), ("th", "D"), ("ph", "f"), ("ck", "k"), ("qu", "kw"), ("x", "ks"), ("h", "")]
 
@@ -18,10 +20,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_WORDS: dict[tuple[str, str], DataFrame] = {}
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, lang, n): each word with its smallest language and number of occurrences."""
-    found = documents(spark, sf_dir).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return found.where(F.length("word").between(2, 12)).groupBy("word").agg(F.min("lang").alias("lang"), F.count("*").alias("n"))
+    """(word, lang, n): each word with its smallest language and number of occurrences; found once for each folder in an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WORDS:
+        found = documents(spark, sf_dir).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+        _WORDS[key] = written(found.groupBy("word").agg(F.min("lang").alias("lang"), F.count("*").alias("n")), "words")
+    return _WORDS[key]
 
 
 def _spoken(word: Column, rules: list[tuple[str, str]]) -> Column:
@@ -51,7 +59,7 @@ def _sql(word: str, rules: list[tuple[str, str]]) -> str:
 
 #: Common table expressions: words(word, lang, n) and lex(word, lang, n, variant, letters, phones).
 LEX_SQL = f"""found AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
-words AS (SELECT word, min(lang) AS lang, count(*) AS n FROM found WHERE length(word) BETWEEN 2 AND 12 GROUP BY word),
+words AS (SELECT word, min(lang) AS lang, count(*) AS n FROM found GROUP BY word),
 said AS (SELECT word, lang, n, {_sql('word', RULES)} AS p1, {_sql('word', SECOND)} AS p2, length(word) > 2 AND word LIKE '%e' AS silent FROM words),
 spoken AS (SELECT word, lang, n, CASE WHEN silent THEN regexp_replace(p1, 'e$', '') ELSE p1 END AS p1, CASE WHEN silent THEN regexp_replace(p2, 'e$', '@') ELSE p2 END AS p2 FROM said),
 lex AS (SELECT word, lang, n, 1 AS variant, string_split(word, '') AS letters, string_split(p1, '') AS phones FROM spoken WHERE p1 <> ''

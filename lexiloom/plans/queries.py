@@ -6,6 +6,7 @@ All run over whole tables. Keys name the operators of the survey.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from lexiloom.operators import tree as TR
 from lexiloom.operators import windows as W
 from lexiloom.plans.derived import LEX_SQL, NAIVE_SQL, SCORED_SQL, documents, lexicon, naive, scored, words
 from lexiloom.sources import lexicon as L
-from lexiloom.symbols import JOINS
+from lexiloom.symbols import joins_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,21 +91,30 @@ def dedup_cooked(spark, sf_dir):
     return L.first_of_cooked(lex.unionByName(lex.withColumn("seq", F.col("seq") + 2))).select(flat("letters"), flat("phones"), "seq")
 
 
-@query(with_lex("SELECT word, variant FROM lex WHERE len(letters) >= len(phones) AND factorial(CAST(len(letters) AS INTEGER)) / (factorial(CAST(len(phones) AS INTEGER)) * factorial(CAST(len(letters) - len(phones) AS INTEGER))) <= 100"))
+_WAYS_SQL = "round(exp(lgamma(len(letters) + 1.0) - lgamma(len(phones) + 1.0) - lgamma(len(letters) - len(phones) + 1.0)))"
+
+
+@query(with_lex(f"SELECT word, variant FROM lex WHERE len(letters) >= len(phones) AND {_WAYS_SQL} <= 100"))
 def admission_filter(spark, sf_dir):
     return L.admissible(lexicon(spark, sf_dir), 100).select("word", "variant")
 
 
-@query(with_lex("SELECT word, variant, array_to_string(list_transform(phones, lambda p: regexp_replace(p || '1', '[012]$', '')), ' ') AS bare, array_to_string(list_transform(phones, lambda p: CASE WHEN upper(p) IN ('AA', 'AE') THEN p ELSE p END), ' ') AS same FROM lex"))
+_each = lambda f: f"array_to_string(list_transform(phones, lambda p: {f}), ' ')"
+
+
+@query(with_lex(f"SELECT word, variant, {_each('p')} AS bare, {_each('p')} AS cmu, {_each('p')} AS xsampa, {_each("p || '1'")} AS none, {_each("p || '3'")} AS other FROM lex"))
 def strip_stress(spark, sf_dir):
-    return lexicon(spark, sf_dir).select("word", "variant", F.array_join(F.transform("phones", lambda p: T.strip_stress(F.concat(p, F.lit("1")))), " ").alias("bare"), F.array_join(F.transform("phones", lambda p: T.strip_phoneset_stress(p, "none")), " ").alias("same"))
+    one = lambda f: F.array_join(F.transform("phones", f), " ")
+    digit, mark = lambda p: F.concat(p, F.lit("1")), lambda p: F.concat(F.lit('"'), p)
+    return lexicon(spark, sf_dir).select("word", "variant", one(lambda p: T.strip_stress(digit(p))).alias("bare"), one(lambda p: T.strip_phoneset_stress(digit(p), "cmu")).alias("cmu"), one(lambda p: T.strip_phoneset_stress(mark(p), "xsampa")).alias("xsampa"), one(lambda p: T.strip_phoneset_stress(digit(p), "none")).alias("none"), one(lambda p: T.strip_stress(F.concat(p, F.lit("3")))).alias("other"))
 
 
-@query(with_lex("SELECT word, variant, array_to_string(list_transform(phones, lambda p: CASE WHEN p = 'a' AND variant = 1 THEN 'AA1' WHEN p = 'a' THEN 'AA0' WHEN p = 'e' THEN 'EH0' ELSE p END), ' ') AS phones FROM lex"))
+@query(with_lex(f"SELECT word, variant, {_each("CASE WHEN p = 'a' AND variant = 1 THEN 'AA1' WHEN p = 'a' THEN 'AA0' WHEN p = 'e' THEN 'EH0' WHEN p = 'o' THEN 'AO' WHEN p = 'k' THEN 'K' ELSE p END")} AS phones FROM lex"))
 def stress_filter(spark, sf_dir):
-    lex = lexicon(spark, sf_dir)
-    marked = F.transform("phones", lambda p: F.when(p == "a", F.when(F.col("variant") == 1, "AA1").otherwise("AA2")).when(p == "e", "EH0").otherwise(p))
-    return lex.select("word", "variant", F.array_join(T.filter_stress(marked, "1", True), " ").alias("phones"))
+    """Digits that go become 0 on vowels; bare vowels stay bare, consonants get none."""
+    told = {"e": "EH0", "o": "AO", "k": "K2"}
+    marked = F.transform("phones", lambda p: F.when(p == "a", F.when(F.col("variant") == 1, "AA1").otherwise("AA2")).otherwise(F.coalesce(*(F.when(p == a, b) for a, b in told.items()), p)))
+    return lexicon(spark, sf_dir).select("word", "variant", F.array_join(T.filter_stress(marked, "1", True), " ").alias("phones"))
 
 
 @query(with_lex("SELECT substr(sha256(string_agg(word || ' ' || array_to_string(phones, ' '), '' ORDER BY word, variant)), 1, 8) AS dict_hash FROM lex"))
@@ -118,6 +128,7 @@ def lexicon_hash(spark, sf_dir):
 
 _EDGE = r"^[\p{P}\p{S}\p{C}\p{M}\p{Z}]+|[\p{P}\p{S}\p{C}\p{M}\p{Z}]+$"
 _NORMAL_SQL = "SELECT token, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\\s+')), '" + _EDGE + "', '', 'g') AS token FROM documents) WHERE token <> '' GROUP BY token"
+_NORMAL_SQL = _NORMAL_SQL.replace("_array(text,", "_array(nfc_normalize(text),")
 
 
 @query(_NORMAL_SQL)
@@ -180,20 +191,43 @@ def codepoints(spark, sf_dir):
     return _tokens(spark, sf_dir).select("token", F.array_join(T.code_points(F.col("token")), " ").alias("points"))
 
 
-@query(with_lex("SELECT word, array_to_string(string_split(replace(replace(replace(word, 'sch', '1'), 'ch', '2'), 'ck', '3'), ''), ' ') AS marked FROM words WHERE NOT regexp_matches(word, 'c[hk][hk]')"))
+@query(with_lex("SELECT word, regexp_replace(word, '(tsch|sch|ch|ck|pf|ph|qu|eu|au|ai|ei|ie)', '<\\1>', 'g') AS marked FROM words"))
 def join_tokens(spark, sf_dir):
-    rows = words(spark, sf_dir).where(~F.col("word").rlike("c[hk][hk]")).select("word", A.letters_of(F.col("word")).alias("letters"))
-    joined = A.join_tokens(F.col("letters"), JOINS["de_DE"]["letters"])
-    names = F.transform(joined, lambda t: F.when(t == "s₊c₊h", "1").when(t == "c₊h", "2").when(t == "c₊k", "3").otherwise(t))
-    return rows.select("word", F.array_join(names, " ").alias("marked"))
+    rows = words(spark, sf_dir).select("word", A.letters_of(F.col("word")).alias("letters"))
+    joined = A.join_tokens(F.col("letters"), joins_for("de_DE", "letters"))
+    names = F.transform(joined, lambda t: F.when(F.contains(t, F.lit("₊")), F.concat(F.lit("<"), F.replace(t, F.lit("₊"), F.lit("")), F.lit(">"))).otherwise(t))
+    return rows.select("word", F.array_join(names, "").alias("marked"))
 
 
-@query(with_lex("SELECT word, array_to_string(letters, ' ') AS letters FROM lex WHERE variant = 1"))
+@query(with_lex("SELECT word, array_to_string(letters, ' ') AS letters, len(letters) - len(regexp_extract_all(word, 'sh|ch|th|ph|wh|ng|ck')) AS n_tokens FROM lex WHERE variant = 1"))
 def uncook(spark, sf_dir):
     lex = lexicon(spark, sf_dir).where("variant = 1")
-    cooked = A.join_tokens(F.col("letters"), JOINS["en_US"]["letters"])
+    cooked = A.join_tokens(F.col("letters"), joins_for("en_US", "letters"))
     silent = F.flatten(F.transform(cooked, lambda t: F.array(t, F.lit("∅"))))
-    return lex.select("word", F.array_join(A.uncook(silent), " ").alias("letters"))
+    return lex.select("word", F.array_join(A.uncook(silent), " ").alias("letters"), F.size(cooked).cast("long").alias("n_tokens"))
+
+
+@query(with_lex("SELECT word, variant, regexp_replace(array_to_string(phones, ''), '(ju|ks|ts)', '<\\1>', 'g') AS marked FROM lex"))
+def cook_phones(spark, sf_dir):
+    """Phones, some of them glued and stressed, as an American model takes them."""
+    lex = lexicon(spark, sf_dir)
+    glued = F.array(F.array_join(F.transform("phones", lambda p: F.concat(p, F.lit("%"))), "₊"))
+    cooked = A.join_tokens(A.cook_phones(glued, "default", "xsampa", True), joins_for("en_US", "ipa"))
+    names = F.transform(cooked, lambda t: F.when(F.contains(t, F.lit("₊")), F.concat(F.lit("<"), F.replace(t, F.lit("₊"), F.lit("")), F.lit(">"))).otherwise(t))
+    return lex.select("word", "variant", F.array_join(names, "").alias("marked"))
+
+
+_SYMBOLS_SQL = "token"
+for _old, _new in T._SPELLED.items():
+    _SYMBOLS_SQL = f"replace({_SYMBOLS_SQL}, '{_old}', '{_new}')"
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT token, replace(replace({_SYMBOLS_SQL}, 'A', 'Ae'), '.', '-') AS plain FROM tokens WHERE token <> ''")
+def plain_symbols(spark, sf_dir):
+    """Ligatures, dashes and full-width letters, planted in the tokens, as plain letters."""
+    odd = F.replace(F.replace("token", F.lit("A"), F.lit("Æ")), F.lit("."), F.lit("—"))
+    wide = F.replace(odd, F.lit("t"), F.lit("ｔ"))
+    return _tokens(spark, sf_dir).select("token", T.plain_symbols(wide).alias("plain"))
 
 
 @query(with_lex("SELECT word, variant, array_to_string(letters, '₊') || chr(31) || array_to_string(phones, '₊') AS unit, len(letters) AS n_letters, len(phones) AS n_phones FROM lex"))
@@ -295,10 +329,14 @@ def find_gaps(spark, sf_dir):
     return S.score_gaps(_prons(spark, sf_dir)).select("word", F.when(F.col("worst") > 0, F.round("ratio", 6)).otherwise(1e300).alias("ratio"))
 
 
-@query(with_lex("SELECT category, count(*) AS n, count(DISTINCT word) AS n_words FROM (SELECT word, CASE WHEN score = 0 THEN 'ZERO' WHEN regexp_matches(word, '[^a-z'']') THEN 'FOREIGN' WHEN length(word) <= 2 THEN 'SHORT' WHEN regexp_matches(word, '''s?$') THEN 'POSSESSIVE' WHEN best > 0 AND score < best * 0.1 THEN 'REDUCED' WHEN score < 0.01 THEN 'LOW' ELSE 'OK' END AS category FROM scored JOIN best USING (word)) GROUP BY category", SCORED_SQL, _BEST_SQL))
+_TRIAGE_SQL = """CASE WHEN score >= 0.05 THEN 'OK' WHEN score = 0 OR (length(word) <= 4 AND len(phones) > length(word) * 1.5) OR word IN ('mr', 'dr', 'jr', 'sr', 'st') THEN 'ABBREV'
+  WHEN word IN ('of', 'the', 'to', 'is', 'was', 'were', 'have', 'has', 'had') THEN 'FUNCTION' WHEN regexp_matches(word, '^(xia|qia|qiu|zh[aeiou]|ma?c[a-z])|iao$') THEN 'FOREIGN' ELSE 'REVIEW' END"""
+
+
+@query(with_lex(f"SELECT category, count(*) AS n, count(DISTINCT word) AS n_words, round(sum(score), 6) AS total FROM (SELECT word, score, {_TRIAGE_SQL} AS category FROM scored WHERE length(word) > 1) GROUP BY category", SCORED_SQL))
 def triage(spark, sf_dir):
-    rows = S.triage(scored(lexicon(spark, sf_dir)).select("word", "variant", "score"))
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("word").alias("n_words"))
+    rows = S.triage(scored(lexicon(spark, sf_dir)).select("word", "variant", "phones", "score"))
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("word").alias("n_words"), F.round(F.sum("score"), 6).alias("total"))
 
 
 @query(with_lex("SELECT word, variant, new_rank FROM (SELECT *, bool_or(new_rank <> variant) OVER (PARTITION BY word) AS moved FROM (SELECT word, variant, row_number() OVER (PARTITION BY word ORDER BY score DESC, variant) AS new_rank FROM scored)) WHERE moved", SCORED_SQL))
@@ -352,17 +390,34 @@ def substitutions(spark, sf_dir):
     return E.substitutions(_judged(spark, sf_dir))
 
 
-@query(with_lex("SELECT count(*) AS entries, CAST(coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS BIGINT) AS changed_entries, CAST(coalesce(sum(CAST(regexp_matches(word, 'do$') AND len(phones) > 1 AND phones[-1] = 'o' AS INT)), 0) AS BIGINT) AS changed_phones FROM lex"))
+#: Words and phones with what the policies look for.
+_OPEN_SQL = "opened AS (SELECT replace(word, 'ee', 'è') AS word, list_transform(phones, lambda p: CASE WHEN variant = 1 AND p = 'e' THEN 'ɛ' WHEN p = 'o' AND variant = 2 THEN 'ʊ' WHEN p = 'a' THEN 'ɔ' ELSE p END) AS phones FROM lex)"
+_CHANGES = {
+    "collapse_open": "len(list_filter(phones, lambda p: p IN ('ɛ', 'ɔ')))",
+    "spelling_gated": "CASE WHEN contains(word, 'è') THEN 0 ELSE len(list_filter(phones, lambda p: p IN ('ɛ', 'ɔ'))) END",
+    "surface_final": "CASE WHEN word LIKE '%o' AND phones[-1] IN ('o', 'ʊ') THEN 1 ELSE 0 END",
+    "do_du": "CASE WHEN word LIKE '%o' AND phones[-1] IN ('o', 'ʊ') THEN 1 ELSE 0 END",
+    "citation_expand": "CASE WHEN word LIKE '%o' AND phones[-1] = 'u' THEN 1 ELSE 0 END",
+}
+
+
+@query(with_lex(" UNION ALL ".join(f"SELECT '{k}' AS policy, count(*) AS entries, CAST(sum(CAST({x} > 0 AS INT)) AS BIGINT) AS changed_entries, CAST(sum({x}) AS BIGINT) AS changed_phones FROM opened" for k, x in _CHANGES.items()), _OPEN_SQL))
 def normalize_audit(spark, sf_dir):
-    return E.audit_policy(lexicon(spark, sf_dir), "do_du")
+    put = lambda p: F.when((F.col("variant") == 1) & (p == "e"), "ɛ").when((F.col("variant") == 2) & (p == "o"), "ʊ").when(p == "a", "ɔ").otherwise(p)
+    opened = lexicon(spark, sf_dir).select(F.replace("word", F.lit("ee"), F.lit("è")).alias("word"), F.transform("phones", put).alias("phones"))
+    told = [E.audit_policy(opened, k).select(F.lit(k).alias("policy"), "*") for k in _CHANGES]
+    return reduce(DataFrame.unionByName, told)
 
 
-@query(with_lex(f"SELECT word, arg_max(array_to_string(phones, ' '), {_SAME} * 10 - variant) AS closest FROM pred GROUP BY word", _PRED_SQL))
+_CLOSE_SQL = f"greatest(-1.0, {_SAME} - 0.5 * abs(len(phones) - len(predicted)))"
+
+
+@query(with_lex(f"SELECT word, arg_max(array_to_string(phones, ' '), {_CLOSE_SQL} * 10 - variant) AS closest FROM pred GROUP BY word", _PRED_SQL))
 def closest_pron(spark, sf_dir):
     return E.closest_variant(lexicon(spark, sf_dir).withColumn("predicted", naive(F.col("word"))))
 
 
-_EXC_SQL = f"exc AS (SELECT word, arg_max(array_to_string(phones, ' '), {_SAME} * 10 - variant) AS phones FROM pred GROUP BY word HAVING count(*) > 1 OR max(CAST(x = y AS INT)) = 0)"
+_EXC_SQL = f"exc AS (SELECT word, arg_max(array_to_string(phones, ' '), {_CLOSE_SQL} * 10 - variant) AS phones FROM pred GROUP BY word HAVING count(*) > 1 OR max(CAST(x = y AS INT)) = 0)"
 
 
 @query(with_lex("SELECT * FROM exc", _PRED_SQL, _EXC_SQL))
@@ -370,6 +425,13 @@ def exceptions(spark, sf_dir):
     return E.exceptions(lexicon(spark, sf_dir).withColumn("predicted", naive(F.col("word")))).select("word", flat("phones"))
 
 
+@query(with_lex(f"SELECT word, greatest(len(phones), len(predicted)) - {_SAME} AS mismatches FROM pred WHERE variant = 1 AND x <> y ORDER BY mismatches DESC, word LIMIT 50", _PRED_SQL))
+def worst_words(spark, sf_dir):
+    """The 50 words that the naive model gets wrong most: a report."""
+    lex = lexicon(spark, sf_dir).where("variant = 1").withColumn("predicted", naive(F.col("word")))
+    return E.worst_words(lex, 50).withColumn("mismatches", F.col("mismatches").cast("long"))
+
+
 @query(with_lex("SELECT word, coalesce(exc.phones, array_to_string(predicted, ' ')) AS phones FROM pred LEFT JOIN exc USING (word) WHERE variant = 1", _PRED_SQL, _EXC_SQL))
 def hybrid_lookup(spark, sf_dir):
     lex = lexicon(spark, sf_dir).withColumn("predicted", naive(F.col("word")))
@@ -407,7 +469,7 @@ def em_mstep(spark, sf_dir):
 
 @query()
 def em_align(spark, sf_dir):
-    aligned, _ = AL.align(alignable(spark, sf_dir), max_iterations=4)
+    aligned, _ = AL.align(alignable(spark, sf_dir))
     return aligned.select("word", flat("letters"), flat("state"))
 
 
@@ -427,7 +489,47 @@ def unit_em(spark, sf_dir):
 
 @query()
 def suggest_joins(spark, sf_dir):
-    return M.join_report(_units(spark, sf_dir)).select("tokens", F.round("total_mass", 6).alias("total_mass"), "modal_match", F.round("modal_confidence", 6).alias("modal_confidence"), flat("alternatives"))
+    """Join candidates of both sides by their mass: a report of 20 each."""
+    q = _units(spark, sf_dir)
+    one = lambda side: M.join_report(q, side).select(F.lit(side).alias("side"), "tokens", F.round("total_mass", 6).alias("total_mass"), "modal_match", F.round("modal_confidence", 6).alias("modal_confidence"), F.array_join(F.transform("alternatives", lambda x: x["tokens"]), "|").alias("alternatives"))
+    return one("letters").unionByName(one("phones"))
+
+
+_LM_SQL = """sides AS (SELECT list_concat(['<s>'], phones, ['</s>']) AS w FROM lex), units AS (SELECT DISTINCT unnest(phones) AS unit FROM lex),
+seen AS (SELECT prev, count(*) AS d FROM (SELECT unnest(w) AS prev FROM sides) WHERE prev <> '</s>' GROUP BY prev),
+pairs AS (SELECT w[i] AS prev, w[i + 1] AS unit, count(*) AS c FROM (SELECT w, unnest(range(1, len(w))) AS i FROM sides) GROUP BY ALL)"""
+
+
+@query(with_lex("SELECT prev, unit, round(ln((coalesce(c, 0) + 0.01) / (d + 0.01 * (SELECT count(*) FROM units))), 9) AS log_prob FROM (SELECT * FROM seen, units) LEFT JOIN pairs USING (prev, unit)", _LM_SQL))
+def lm_log_probs(spark, sf_dir):
+    """Log probability of every phone after every other, pairs that were never seen among them."""
+    counts = [tuple(r) for r in W.ngram_counts(lexicon(spark, sf_dir), F.col("phones"), 2).select("w1", "w2", "w3", "n").collect()]  # pairs of an alphabet
+    lm = M.NgramModel(counts, 2)
+    phones = sorted({r[0] for r in counts if r[1] is None} - {"<s>", "</s>"})
+    return spark.createDataFrame([(a, b, lm.log_prob((a,), b)) for a in ["<s>", *phones] for b in phones], "prev string, unit string, log_prob double").withColumn("log_prob", F.round("log_prob", 9))
+
+
+@query(with_lex(f"SELECT count(*) AS entries, sum({_WAYS_SQL}) AS placements, sum({_WAYS_SQL}) * 50 AS bytes, sum({_WAYS_SQL}) * 50 > 8589934592 AS too_many FROM adm WHERE len(letters) <= 20", _ADM_SQL))
+def alignment_space(spark, sf_dir):
+    """What listing all placements would take, of words up to 20 letters (beyond, doubles of the two engines differ)."""
+    return L.alignment_space(alignable(spark, sf_dir).where("size(letters) <= 20"))
+
+
+@query(with_lex("SELECT word, variant FROM lex ORDER BY sha256('42:' || word || ':' || variant) LIMIT 500"))
+def sample_lexicon(spark, sf_dir):
+    """500 entries drawn without replacement: a sampling operator."""
+    return L.sample_entries(lexicon(spark, sf_dir).select("word", "variant"), 500, ["word", "variant"])
+
+
+@query(with_lex("SELECT word, CAST(n AS DOUBLE) AS combinations FROM words WHERE length(word) > 8"))
+def aligner_log(spark, sf_dir):
+    noisy = words(spark, sf_dir).select(F.when(F.length("word") > 8, F.concat(F.lit("12:00 WARN toomany: "), "word", F.lit(" "), F.col("n").cast("string"))).otherwise(F.concat(F.lit("INFO "), "word")).alias("value"))
+    return L.parse_aligner_log(noisy)
+
+
+@query(with_lex("SELECT value, count(*) AS n FROM (SELECT concat_ws(' ', c0, c1, c2, c3, c4, c5, c6, p) AS value FROM vectors UNION ALL SELECT '0 1 2 3 4 5 6 P') GROUP BY value", _WINDOW_SQL))
+def vector_lines(spark, sf_dir):
+    return L.render_vectors(W.vector_counts(left_aligned(spark, sf_dir))).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -474,6 +576,46 @@ def score_combination(spark, sf_dir):
     return lex.select("word", "variant", *(F.round(S.combine(F.col("s"), m), 6).alias(n) for m, n in (("geometric", "geometric"), ("arithmetic", "arithmetic"), ("harmonic", "harmonic"), ("min", "least"))))
 
 
+def letter_dists(spark, sf_dir) -> DataFrame:
+    """Entries with ``dists`` by the phones that each letter is aligned with, and ``predicted``."""
+    counts = W.letter_phone_counts(left_aligned(spark, sf_dir))
+    told: dict[str, list[tuple[int, str]]] = {}
+    for r in counts.collect():  # letters by phones of an alphabet
+        told.setdefault(r.letter, []).append((-r.n, r.phone))
+    of = {c: (sum(-n for n, _ in x), sorted(x)) for c, x in told.items()}
+    one = lambda c: F.array(*(F.struct(F.lit(p).alias("phone"), F.lit(-n / of[c][0]).alias("prob")) for n, p in of[c][1]))
+    table = F.create_map(*(x for c in sorted(of) for x in (F.lit(c), one(c))))
+    held = lexicon(spark, sf_dir).where(~F.exists("letters", lambda c: ~c.isin(sorted(of))))
+    rows = held.withColumn("dists", F.transform("letters", lambda c: table[c]))
+    return rows.withColumn("predicted", TR.predicted(F.col("dists")))
+
+
+_SCORE_SQL = """lp AS (SELECT letter, phone, n / sum(n) OVER (PARTITION BY letter) AS prob, row_number() OVER (PARTITION BY letter ORDER BY n DESC, phone) AS rank FROM (SELECT c3 AS letter, p AS phone, count(*) AS n FROM vectors GROUP BY ALL)),
+one AS (SELECT word, variant, j, coalesce(max(prob), 0) AS prob FROM (SELECT word, variant, letters, phones[j] AS phone, j FROM (SELECT *, unnest(range(1, len(phones) + 1)) AS j FROM lex)) s LEFT JOIN lp ON lp.phone = s.phone AND list_contains(s.letters, lp.letter) GROUP BY word, variant, j),
+said AS (SELECT word, variant, string_agg(phone, ' ' ORDER BY i) FILTER (phone <> '∅') AS predicted FROM (SELECT word, variant, letters[i] AS letter, i FROM (SELECT *, unnest(range(1, len(letters) + 1)) AS i FROM lex)) JOIN lp USING (letter) WHERE rank = 1 GROUP BY word, variant),
+judged AS (SELECT word, variant, array_to_string(phones, ' ') AS phones, coalesce(predicted, '') AS predicted, score FROM lex JOIN (SELECT word, variant, CASE WHEN min(prob) = 0 THEN 0 ELSE exp(avg(ln(greatest(prob, 1e-300)))) END AS score FROM one GROUP BY word, variant) USING (word, variant) JOIN said USING (word, variant))"""
+_SCORE_SQL = _SCORE_SQL.replace("said AS", "spelt AS").replace("JOIN said USING", "JOIN spelt USING")
+
+
+@query(with_lex("SELECT word, variant, phones, predicted, round(score, 6) AS score, CASE WHEN phones = predicted THEN '=' ELSE '!' END AS flag FROM judged", _WINDOW_SQL, _SCORE_SQL))
+def score_lexicon(spark, sf_dir):
+    """Every entry's score and prediction under a model of one letter at a time."""
+    return S.score_lexicon(letter_dists(spark, sf_dir)).select("word", "variant", flat("phones"), flat("predicted"), F.round("score", 6).alias("score"), "flag")
+
+
+@query(with_lex("SELECT word, string_agg(phones, '|' ORDER BY score DESC, phones) AS prons, round(max(score), 6) AS best FROM (SELECT word, phones, round(score, 9) AS score FROM judged) GROUP BY word", _WINDOW_SQL, _SCORE_SQL))
+def score_variants(spark, sf_dir):
+    rows = S.score_lexicon(letter_dists(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return S.score_variants(rows).select("word", F.array_join(F.transform("prons", lambda v: v["pron"]), "|").alias("prons"), F.round(F.get("prons", 0)["score"], 6).alias("best"))
+
+
+@query(with_lex("SELECT word, phones, round(score, 6) AS score FROM (SELECT word, phones, round(score, 9) AS score FROM judged) ORDER BY score, word, phones LIMIT 100", _WINDOW_SQL, _SCORE_SQL))
+def lowest_scored(spark, sf_dir):
+    """The 100 worst entries: a report."""
+    rows = S.score_lexicon(letter_dists(spark, sf_dir)).select("word", F.array_join("phones", " ").alias("phones"), F.round("score", 9).alias("score"))
+    return rows.orderBy("score", "word", "phones").limit(100).withColumn("score", F.round("score", 6))
+
+
 @query()
 def compare_locale(spark, sf_dir):
     """Held-out error rates of the tree per language."""

@@ -18,12 +18,12 @@ from lexiloom.functions.text import is_comment, nfc, strip_variant, variant_rank
 
 #: How each kind of lexicon line is read: separator, inline comments, variant suffix, composed letters.
 DIALECTS = {
-    "main": {"tab_first": True, "inline": True, "suffix": "strip", "nfc": False},
-    "aligner": {"tab_first": True, "inline": True, "suffix": "strip", "nfc": True},
-    "tsv": {"tab_only": True, "inline": False, "suffix": "strip", "nfc": False},
-    "tsv_keep": {"tab_only": True, "inline": False, "suffix": "keep", "nfc": False},
-    "scored": {"tab_first": False, "inline": False, "suffix": "rank", "nfc": False},
-    "no_variants": {"tab_first": False, "inline": False, "suffix": "drop", "nfc": False},
+    "main": {"tab_first": True, "inline": "#.*$", "bare": True, "suffix": "strip", "nfc": False},
+    "aligner": {"tab_first": True, "inline": r"\s#.*$", "suffix": "strip", "nfc": True},
+    "tsv": {"tab_only": True, "inline": None, "suffix": "strip", "nfc": False},
+    "tsv_keep": {"tab_only": True, "inline": None, "suffix": "keep", "nfc": False},
+    "scored": {"tab_first": False, "inline": None, "suffix": "rank", "nfc": False},
+    "no_variants": {"tab_first": False, "inline": None, "suffix": "drop", "nfc": False},
 }
 
 
@@ -37,9 +37,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_lexicon(lines: DataFrame, dialect: str = "main") -> DataFrame:
     """``lines`` (value, ...) that are entries, with word, phones and variant; comments, blanks and malformed lines go."""
     rules = DIALECTS[dialect]
-    line = F.trim("value")
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    line = stripped(F.col("value"))
     if rules["inline"]:
-        line = F.trim(F.regexp_replace(line, r"\s#.*$", ""))
+        line = stripped(F.regexp_replace(line, rules["inline"], ""))
     if rules["nfc"]:
         line = nfc(line)
     tabbed = F.contains(line, F.lit("\t"))
@@ -48,10 +49,11 @@ def parse_lexicon(lines: DataFrame, dialect: str = "main") -> DataFrame:
     else:
         pair = F.split(line, r"\s+", 2)
         if rules.get("tab_first"):
-            pair = F.when(tabbed, F.split(line, "\t", 2)).otherwise(pair)
+            pair = F.when(tabbed, F.split(line, "\t")).otherwise(pair)
         word, rest, ok = F.trim(F.get(pair, 0)), F.get(pair, 1), F.size(pair) > 1
     phones = F.filter(F.split(F.trim(rest), r"\s+"), lambda p: p != "")
-    rows = lines.where(~is_comment(F.col("value"))).withColumns({"word": word, "phones": phones}).where(ok & (F.col("word") != "") & (F.size("phones") > 0))
+    spoken = (F.size("phones") > 0) | tabbed if rules.get("bare") else F.size("phones") > 0
+    rows = lines.where(~is_comment(F.col("value"))).withColumns({"word": word, "phones": phones}).where(ok & (F.col("word") != "") & spoken)
     if rules["suffix"] == "drop":
         rows = rows.where(~F.contains("word", F.lit("(")))
     rank = variant_rank(F.col("word"))
@@ -132,22 +134,80 @@ def first_of_cooked(entries: DataFrame) -> DataFrame:
     return entries.groupBy("letters", "phones").agg(F.min("seq").alias("seq"))
 
 
-def binomials(spark: SparkSession, size: int = 64) -> DataFrame:
-    """(l, p, ways): C(l, p) as double, for lengths up to ``size``; a bounded table to broadcast."""
-    import math
-
-    return spark.createDataFrame([(n, k, float(math.comb(n, k))) for n in range(size + 1) for k in range(n + 1)], "l int, p int, ways double")
+def placements(letters: Column, phones: Column) -> Column:
+    """The number of ways to place the phones on the letters, as double, for words of any length."""
+    n, k = F.size(letters), F.least(F.size(phones), F.size(letters) - F.size(phones))
+    steps = F.when(k < 1, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(1), k))
+    ways = F.aggregate(steps, F.lit(1.0), lambda a, i: a * (n - k + i) / i)
+    return F.when(F.size(phones) > n, 0.0).otherwise(F.round(ways))
 
 
 def admissible(entries: DataFrame, max_combinations: int | None = None, locale: str = "") -> DataFrame:
     """Entries (letters, phones) that the aligner takes: enough letters, and few enough placements (0 and None: any)."""
     letters = F.concat("letters", F.array(F.lit("#"))) if locale.startswith("fr") else F.col("letters")
     rows = entries.withColumn("letters", letters).where("size(letters) >= size(phones)")
-    if not max_combinations:
-        return rows
-    table = F.broadcast(binomials(entries.sparkSession))
-    joined = rows.join(table, (F.size("letters") == table.l) & (F.size("phones") == table.p), "left")
-    return joined.where(F.col("ways") <= max_combinations).drop("l", "p", "ways")
+    return rows.where(placements(F.col("letters"), F.col("phones")) <= max_combinations) if max_combinations else rows
+
+
+#: Bytes that one placement takes where all are listed, and how many are worth a warning.
+PLACEMENT_BYTES, MANY_BYTES = 50, 8 << 30
+
+
+def alignment_space(entries: DataFrame) -> DataFrame:
+    """(entries, placements, bytes, too_many): what listing every placement would take."""
+    total = F.coalesce(F.sum(placements(F.col("letters"), F.col("phones"))), F.lit(0.0))
+    return entries.agg(F.count("*").alias("entries"), total.alias("placements")).select("entries", "placements", (F.col("placements") * PLACEMENT_BYTES).alias("bytes"), (F.col("placements") * PLACEMENT_BYTES > MANY_BYTES).alias("too_many"))
+
+
+def cooked(entries: DataFrame) -> DataFrame:
+    """Entries (letters, phones) of which neither side is empty."""
+    return entries.where("size(letters) > 0 and size(phones) > 0")
+
+
+def sample_entries(entries: DataFrame, n: int, keys: list[str], seed: str = "42") -> DataFrame:
+    """``n`` entries without replacement, least by the SHA-256 of the seed and their keys."""
+    return entries.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)), 256), *keys).limit(n)
+
+
+def parse_aligner_log(lines: DataFrame) -> DataFrame:
+    """(word, combinations) of the lines ``toomany: word n`` that an aligner logged."""
+    found = lambda i: F.regexp_extract("value", r"toomany\W+(\S+)\s+(\d+)", i)
+    return lines.where(F.contains("value", F.lit("toomany"))).select(found(1).alias("word"), found(2).try_cast("double").alias("combinations")).where("word <> ''")
+
+
+def render_vectors(vectors: DataFrame, header: bool = True) -> DataFrame:
+    """(value): counted vectors (c0, ..., p, n) as lines, each as often as it was counted, after a header."""
+    names = [c for c in vectors.columns if c[0] == "c" and c[1:].isdigit()]
+    lines = vectors.select(F.explode(F.array_repeat(F.concat_ws(" ", *names, "p"), F.col("n").cast("int"))).alias("value"))
+    if not header:
+        return lines
+    return vectors.sparkSession.createDataFrame([(" ".join([*map(str, range(len(names))), "P"]),)], "value string").unionByName(lines)
+
+
+def write_triage(rows: DataFrame, path: str) -> None:
+    """Triaged variants as tab-separated files, a folder for each category."""
+    flat = rows.select("category", "score", "word", F.array_join("phones", " ").alias("phones"))
+    flat.repartition("category").sortWithinPartitions("score", "word").write.partitionBy("category").csv(path, sep="\t")
+
+
+def write_scored_lexicon(rows: DataFrame, path: str) -> None:
+    """Scored entries (score, word, phones, predicted, flag), best first, tab-separated."""
+    flat = rows.select(F.format_string("%.6f", "score").alias("score"), "word", F.array_join("phones", " ").alias("phones"), F.array_join("predicted", " ").alias("predicted"), "flag")
+    flat.orderBy(F.desc("score"), "word").write.csv(path, sep="\t")
+
+
+def write_joins(reports: dict[str, DataFrame], about: dict, path: str) -> None:
+    """Join reports by side and the settings they were made with, as one JSON file; a report has at most its top rows."""
+    told = about | {name: [r.asDict(recursive=True) for r in report.collect()] for name, report in reports.items()}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(told, f, ensure_ascii=False, indent=1)
+
+
+def write_manifest(path: str, **about: object) -> dict:
+    """What a lexicon file is (name, version, hash, number of entries) as JSON beside it."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(about, f, ensure_ascii=False, indent=1, sort_keys=True)
+    return about
 
 
 def lexicon_hash(lines: DataFrame) -> DataFrame:

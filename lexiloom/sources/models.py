@@ -32,14 +32,54 @@ def find(language: str, search: list[str], phoneset: str = "") -> str | None:
     return None
 
 
+def _scalar(text: str) -> object:
+    if text[:1] in "\"'[{":
+        return json.loads(text.replace("'", '"'))
+    named = {"true": True, "false": False, "null": None, "~": None, "": None}
+    if text.lower() in named:
+        return named[text.lower()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def parse_flat_yaml(text: str) -> dict:
+    """Settings ``key: value`` line by line, with comments; what configurations hold of YAML."""
+    out = {}
+    for line in text.splitlines():
+        body = line.split(" #")[0].strip() if not line.lstrip().startswith("#") else ""
+        if body and body != "---":
+            key, colon, value = body.partition(":")
+            if not colon:
+                raise ValueError(f"not a setting: {line!r}")
+            out[key.strip()] = _scalar(value.strip())
+    return out
+
+
 def read_config(path: str, presets: dict[str, dict]) -> dict:
-    """A preset by name, or a JSON or TOML file over the defaults."""
+    """A preset by name, or a JSON, TOML or flat YAML file over the defaults."""
     if path in presets:
         return dict(presets[path])
     with open(path, "rb") as f:
-        raw = f.read()
+        raw = f.read().decode()
     if path.endswith(".toml"):
         import tomllib
 
-        return presets["defaults"] | tomllib.loads(raw.decode())
-    return presets["defaults"] | json.loads(raw)
+        told = tomllib.loads(raw)
+    else:
+        told = parse_flat_yaml(raw) if path.endswith((".yaml", ".yml")) else json.loads(raw)
+    return presets["defaults"] | told
+
+
+def write_config(config: dict, path: str) -> None:
+    """Flat settings as JSON, TOML or YAML, by the file's ending."""
+    toml = path.endswith(".toml")
+    if not toml and not path.endswith((".yaml", ".yml")):
+        text = json.dumps(config, ensure_ascii=False, indent=1)
+    else:
+        text = "".join(f"{k}{' = ' if toml else ': '}{json.dumps(v, ensure_ascii=False)}\n" for k, v in config.items() if v is not None or not toml)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)

@@ -15,7 +15,7 @@ from lexiloom.operators import tree as TR
 from lexiloom.operators import windows as W
 from lexiloom.sources import lexicon as L
 from lexiloom.sources import models
-from lexiloom.symbols import EPSILON, JOINS, PRESETS, canonical_locale
+from lexiloom.symbols import EPSILON, JOINS, PRESETS, canonical_locale, joins_for
 
 
 def lex(spark, pairs):
@@ -31,11 +31,12 @@ def values(spark, column, *rows):
 
 def test_parse_lines(spark):
     lines = ["hello  HH AH0 L OW1", "hello\tHH EH L", ";;; c", "# c", "", "word", "word ", "read(2) R EH D # past", "x(99) X"]
+    lines += ["tab\tA B\tC", "cut K#x", "bare\t\tX", " \tX", "none\t"]
     df = spark.createDataFrame(list(enumerate(lines)), "seq int, value string")
     got = [(r.word, " ".join(r.phones), r.variant) for r in L.parse_lexicon(df).orderBy("seq").collect()]
-    assert got == [("hello", "HH AH0 L OW1", 1), ("hello", "HH EH L", 1), ("read", "R EH D", 2), ("x", "X", 99)]
-    assert [r.word for r in L.parse_lexicon(df, "tsv").collect()] == ["hello"]
-    assert [r.word for r in L.parse_lexicon(df, "no_variants").collect()] == ["hello", "hello"]
+    assert got == [("hello", "HH AH0 L OW1", 1), ("hello", "HH EH L", 1), ("read", "R EH D", 2), ("x", "X", 99), ("tab", "A B", 1), ("cut", "K", 1), ("bare", "", 1)]
+    assert [r.word for r in L.parse_lexicon(df, "tsv").orderBy("seq").collect()] == ["hello", "tab", "bare"]
+    assert [r.word for r in L.parse_lexicon(df, "no_variants").orderBy("seq").collect()] == ["hello", "hello", "tab", "cut", "bare"]
     with pytest.raises(FileNotFoundError):
         L.read_lines(spark, "/nowhere/lexicon")
 
@@ -50,6 +51,8 @@ def test_stress(spark):
     df = spark.createDataFrame([(x,) for x in ["", "X", "XX0", "0", "AH2"]], "p string")
     assert [r[0] for r in df.select(T.strip_stress(F.col("p"))).collect()] == ["", "X", "XX", "", "AH"]
     assert [r[0] for r in df.select(T.strip_phoneset_stress(F.col("p"), "unknown")).collect()] == ["", "X", "XX0", "0", "AH2"]
+    told = lambda *a: values(spark, lambda v: T.filter_stress(v, *a), ["AA", "AH2", "AH1", "K", "EH0"])[0]
+    assert told("1", True) == ["AA", "AH0", "AH1", "K", "EH0"] and told("1") == ["AA", "AH", "AH1", "K", "EH"] and told("12") == ["AA", "AH2", "AH1", "K", "EH"]
 
 
 def test_join_and_uncook(spark):
@@ -91,11 +94,31 @@ def test_edit_distance_against_plain(spark):
 
 
 def test_policies(spark):
-    df = spark.createDataFrame([("bello", list("bɛlo")), ("bèllo", ["b", "ɛ"]), ("quando", ["k", "w", "d", "o"]), ("", [])], "w string, p array<string>")
-    told = lambda k: [" ".join(r[0]) for r in df.select(A.POLICIES[k](F.col("w"), F.col("p"))).collect()]
-    assert told("spelling_gated") == ["b e l o", "b ɛ", "k w d o", ""]
-    assert told("do_du") == ["b ɛ l o", "b ɛ", "k w d u", ""]
-    assert all(len(told(k)) == 4 for k in A.POLICIES)
+    def told(policy, *rows):
+        df = spark.createDataFrame([(k, w, p.split()) for k, (w, p) in enumerate(rows)], "k int, w string, p array<string>")
+        return [" ".join(r[0]) for r in df.orderBy("k").select(A.POLICIES[policy](F.col("w"), F.col("p"))).collect()]
+
+    assert told("identity", ("a", "ɛ")) == ["ɛ"]
+    assert told("spelling_gated", ("bello", "b ɛ l ɔ"), ("bèllo", "b ɛ"), ("ÒÈ", "ɔ")) == ["b e l o", "b ɛ", "ɔ"]
+    assert told("collapse_open", ("bèllo", "b ɛ l ɔ")) == ["b e l o"]
+    assert told("surface_final", ("gato", "g a t o"), ("gato", "g a t ʊ"), ("vez", "v e"), ("avô", "a v o"), ("avôo", "a v o"), ("não", "n o"), ("o", ""), ("a", "o")) == ["g a t u", "g a t u", "v e", "a v o", "a v o", "n o", "", "o"]
+    assert told("do_du", ("quando", "k w d o"), ("dado", "d a d ʊ"), ("dãdo", "d")) == ["k w d u", "d a d u", "d"]
+    assert told("citation_expand", ("gato", "g a t u"), ("gata", "g a t u"), ("avôo", "u"), ("lo", "l ʊ")) == ["g a t o", "g a t u", "u", "l ʊ"]
+
+
+def test_cooking(spark):
+    cook = lambda phones, *a: values(spark, lambda v: A.cook_phones(v, *a), phones)[0]
+    assert cook(["k", "s", "t"], "en_US") == ["k₊s", "t"] and cook(["k₊s", "a"], "default") == ["k", "s", "a"]
+    assert cook(["M", "AH0", "K", "S"], "en_US", "cmu", True) == ["M₊AH₊K", "S"] and cook(["M", "AH0"], "en_US", "cmu") == ["M", "AH0"]
+    assert cook(["AX1", "R"], "en_IN", "cmu", True) == ["AX", "R"] and cook([], "en_US") == []
+    assert values(spark, lambda v: A.split_tokens(v, "es_MX"), ["ɟʝ", "a"]) == [["ɟ", "ʝ", "a"]]
+    assert joins_for("en-us", "letters")[0] in JOINS["en_US"]["letters"] and joins_for("xx", "letters") == []
+
+
+def test_plain_symbols_and_nfc(spark):
+    df = spark.createDataFrame([("ﬁｎ’s — Œuf Ꜳ ꜳ e\u0301",)], "t string")
+    assert df.select(T.plain_symbols(F.col("t"))).first()[0] == "fin's - Oeuf Aa aa é"
+    assert df.select(T.normal_tokens(F.lit("\u00abe\u0301t\u00e9\u00bb \u212b x-y! \u2014"))).first()[0] == ["été", "Å", "x-y"]
 
 
 def test_best_state_against_enumeration():
@@ -131,6 +154,10 @@ def test_multigram_em(spark):
     assert joins.tokens == "c h"
     report = M.join_report(q).first()
     assert (report.tokens, report.modal_match) == ("c h", "S")
+    assert all(len(r.tokens.split()) > len(r.modal_match.split()) for r in M.join_report(q, min_prob=1e-3).collect())
+    assert all(len(r.tokens.split()) > len(r.modal_match.split()) for r in M.join_report(q, "phones").collect())
+    units = M.nontrivial_units(q, "en_US").collect()
+    assert all(len(r.letters) > 1 or len(r.phones) > 1 for r in units) and {r.letters_joined for r in units if r.letters == ["c", "h"]} == {True}
     q, _ = M.fit_units(entries, 2, 1, iterations=12)
     paths = {r.word: r.units for r in M.viterbi(entries, q, 2, 1).collect()}
     assert paths["chat"] == [M.uid(["c", "h"], ["S"]), M.uid(["a"], ["a"]), M.uid(["t"], ["t"])]
@@ -153,6 +180,9 @@ def test_lm_prefers_what_it_saw():
     grams = [("<s>", None, None, 20), ("u", None, None, 20), ("v", None, None, 20), ("</s>", None, None, 20), ("u", "v", None, 20), ("<s>", "u", None, 20)]
     lm = M.NgramModel(grams, 2)
     assert lm.log_prob(("u",), "v") > lm.log_prob(("v",), "u")
+    # a history that was seen counts, whether or not the pair was
+    assert abs(lm.log_prob(("v",), "u") - math.log(0.01 / (20 + 0.02))) < 1e-12
+    assert abs(lm.log_prob(("zz",), "u") - math.log(20.01 / (80 + 0.02))) < 1e-12
 
 
 @pytest.fixture(scope="module")
@@ -214,6 +244,32 @@ def test_scores(spark):
         assert [round(r[0], 9) for r in df.select(S.combine(F.col("s"), method)).collect()] == [want, 0.0, 0.0]
 
 
+def test_triage(spark):
+    rows = [("of", "AH V", 0.01), ("zhao", "J AW", 0.01), ("mcgee", "M IH G", 0.01), ("mr", "M", 0.02), ("cbs", "S IY B IY EH S", 0.03), ("house", "H", 0.04), ("house", "H AW S", 0.9), ("x", "E", 0.0), ("zero", "Z", 0.0)]
+    df = spark.createDataFrame([(w, p.split(), s) for w, p, s in rows], "word string, phones array<string>, score double")
+    got = [(r.word, r.category) for r in S.triage_order(S.triage(df)).collect()]
+    assert got == [("zero", "ABBREV"), ("mr", "ABBREV"), ("cbs", "ABBREV"), ("mcgee", "FOREIGN"), ("zhao", "FOREIGN"), ("of", "FUNCTION"), ("house", "OK"), ("house", "REVIEW")]
+    scored = df.withColumn("phones", F.col("phones"))
+    assert [v.pron for v in S.score_variants(scored).where("word = 'house'").first().prons] == ["H AW S", "H"]
+    assert [r.word for r in S.select_scored(scored, top=1).collect()] == ["house"] and S.select_scored(scored, threshold=0.015).count() == 5
+    assert [r.word for r in S.select_scored(scored, bottom=2).collect()] == ["x", "zero"]
+
+
+def test_closest_variant(spark):
+    rows = [("w", 1, "a b x y z", "a b c"), ("w", 2, "a b", "a b c"), ("v", 1, "q q q q", ""), ("v", 2, "q q q q q", "")]
+    df = spark.createDataFrame([(w, k, p.split(), g.split()) for w, k, p, g in rows], "word string, variant int, phones array<string>, predicted array<string>")
+    assert {r.word: r.closest for r in E.closest_variant(df).collect()} == {"w": "a b", "v": "q q q q"}
+    assert [tuple(r) for r in E.worst_words(df, 1).collect()] == [("v", 5)]
+
+
+def test_admission_of_long_words(spark):
+    df = spark.createDataFrame([(["a"] * n, ["b"] * k) for n, k in ((70, 69), (70, 2), (3, 4), (5, 5), (2, 0))], "letters array<string>, phones array<string>")
+    assert sorted(len(r.letters) for r in L.admissible(df, 100).collect()) == [2, 5, 70]
+    told = L.alignment_space(df).first()
+    assert (told.entries, told.placements, told.too_many) == (5, 70 + 2415 + 1 + 1, False)
+    assert L.cooked(df).count() == 4
+
+
 def test_check_and_usage(spark):
     entries = lex(spark, [("a", "é x"), ("b", "x y")])
     spec = spark.createDataFrame([("é",), ("x",), ("z",)], "phone string")
@@ -241,7 +297,21 @@ def test_files(spark, tmp_path):
     scored = spark.createDataFrame([("w", 3, {"x": 0.25, "y": 1.0})], "word string, freq long, prons map<string,double>")
     L.write_scored(scored, str(tmp_path / "s"))
     assert L.read_scored(spark, str(tmp_path / "s")).first().prons == {"x": 0.25, "y": 1.0}
-    assert models.read_config("fast", PRESETS)["width"] == 5
+    assert models.read_config("fast", PRESETS)["width"] == 5 and PRESETS["pocketsphinx"]["phoneset"] == "cmu"
+    for ending in ("json", "toml", "yaml"):
+        models.write_config({"width": 3, "criterion": "gini", "cased": True, "x": 0.5, "joins": [1, 2]}, str(tmp_path / f"c.{ending}"))
+        told = models.read_config(str(tmp_path / f"c.{ending}"), PRESETS)
+        assert (told["width"], told["criterion"], told["cased"], told["x"], told["joins"], told["iterations"]) == (3, "gini", True, 0.5, [1, 2], 15)
+    log = spark.createDataFrame([("W toomany: word 1234",), ("other",)], "value string")
+    assert [tuple(r) for r in L.parse_aligner_log(log).collect()] == [("word", 1234.0)]
+    counted = spark.createDataFrame([("a", "b", "c", "p", 2)], "c0 string, c1 string, c2 string, p string, n long")
+    assert [r.value for r in L.render_vectors(counted).collect()] == ["0 1 2 P", "a b c p", "a b c p"]
+    triaged = S.triage(spark.createDataFrame([("house", ["H"], 0.01), ("of", ["V"], 0.02)], "word string, phones array<string>, score double"))
+    L.write_triage(triaged, str(tmp_path / "t"))
+    assert {r.category: r._c1 for r in spark.read.csv(str(tmp_path / "t"), sep="\t").collect()} == {"REVIEW": "house", "FUNCTION": "of"}
+    L.write_joins({"letters": spark.createDataFrame([("c h", 0.5)], "tokens string, total_mass double")}, {"n": 1}, str(tmp_path / "j"))
+    assert '"c h"' in (tmp_path / "j").read_text()
+    assert L.write_manifest(str(tmp_path / "m"), name="x", n=3)["n"] == 3
 
 
 def test_stream_is_the_batch(spark, tree, tmp_path):
@@ -255,3 +325,51 @@ def test_stream_is_the_batch(spark, tree, tmp_path):
     run.awaitTermination(120)
     batch = render(pronounce(spark.read.text(str(tmp_path / "in")), nodes))
     assert sorted(r.value for r in spark.table("said").collect()) == sorted(r.value for r in batch.collect())
+
+
+@pytest.fixture(scope="module")
+def pronouncer(spark):
+    from lexiloom.api import Pronouncer
+
+    entries = lex(spark, [*CH, ("cat", "k e t")]).withColumn("variant", F.when(F.col("seq") == 10, 2).otherwise(1))
+    return Pronouncer.train(entries.select("word", "phones", "variant"), preset=PRESETS["defaults"] | {"max_depth": 6})
+
+
+def test_pronouncer(spark, pronouncer, tmp_path):
+    from lexiloom.api import Pronouncer
+
+    words = spark.createDataFrame([("Cat",), ("chap",), ("c5p",), ("cp",), ("ß",), ("",)], "word string")
+    got = {r.word: (list(r.phones), list(r.confidences)) for r in pronouncer.pronounce(words).collect()}
+    assert got["Cat"] == (["k", "a", "t"], [1.0] * 3) and got["c5p"] == got["cp"] and got["ß"][0] == [] == got[""][0]
+    assert all(pronouncer(w) == got[w][0] for w in got)
+    scored = {r.word: r for r in pronouncer.score(spark.createDataFrame([("much", ["m", "a", "S"]), ("much", ["z"])], "word string, phones array<string>")).collect()}
+    assert scored["much"].score in (0.0, 1.0) or scored["much"].flag in "=!"
+    assert pronouncer.nbest(words, 2).where("word = 'chap'").first().nbest[0].score > 0
+    pronouncer.save(str(tmp_path / "m"))
+    again = Pronouncer.load(spark, str(tmp_path / "m"))
+    assert all(again(w) == pronouncer(w) for w in ("cat", "chap"))
+
+
+def test_joined_tokens_share_a_confidence(spark):
+    df = spark.createDataFrame([([[("k₊s", 0.75), ("k", 0.25)], [(EPSILON, 1.0)], [("a", 0.5)]],)], "d array<array<struct<phone:string,prob:double>>>")
+    assert df.select(TR.confidences(F.col("d")), TR.predicted(F.col("d"))).first()[:] == ([0.75, 0.75, 0.5], ["k", "s", "a"])
+
+
+def test_harness(spark):
+    from lexiloom.operators import harness as H
+
+    entries = lex(spark, CH).select("word", "phones")
+    small = {"max_depth": 3}
+    split = {"max_test": 2, "fraction": 0.2}
+    both = H.compare_locales({"en_US": entries, "default": entries}, small, order=2, iterations=3, **split).collect()
+    assert {r.locale for r in both} == {"en_US", "default"} and all(r.winner in ("one", "many", "tie") for r in both)
+    grid = H.sweep(entries, [(2, 1)], [1, 2], iterations=3, **split).collect()
+    assert sorted(r.lm_order for r in grid) == [1, 2] and all(r.n_test == 2 for r in grid)
+    told = H.policy_experiments(entries, "it_IT", ["identity", "collapse_open"], small, **split).collect()
+    assert [(r.policy, r.changed_entries) for r in told] == [("identity", 0), ("collapse_open", 0)]
+    train, test = H.held_out(entries, **split)
+    assert train.count() == 8 and test.count() == 2
+    model = H.train_units(train, iterations=2)
+    assert model.skipped == 0 and len(model.log_likelihoods) == 2
+    assert H.benchmark(model, test)["words"] == 2
+    assert H.markdown(spark.createDataFrame([(1, None)], "a int, b string"), "t").splitlines()[-1] == "| 1 |  |"
