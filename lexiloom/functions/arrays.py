@@ -13,6 +13,11 @@ from lexiloom.symbols import EPSILON, EQUIVALENT, JOINER, PAD, SPLITS, canonical
 EMPTY = "cast(array() as array<string>)"
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once however often ``f``, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def letters_of(word: Column) -> Column:
     return F.filter(F.split(word, ""), lambda c: c != "")
 

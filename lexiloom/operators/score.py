@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.arrays import once
+
 
 def combine(scores: Column, method: str = "geometric") -> Column:
     """One score of an array of probabilities; 0 where it is empty or holds a zero."""
+    return once(scores, lambda held: _combined(held, method))
+
+
+def _combined(scores: Column, method: str) -> Column:
     n = F.size(scores)
     total = lambda f: F.aggregate(scores, F.lit(0.0), lambda a, x: a + f(x))
     value = {
@@ -22,8 +28,8 @@ def combine(scores: Column, method: str = "geometric") -> Column:
 
 def phone_scores(dists: Column, phones: Column) -> Column:
     """For each given phone the highest probability that any position gives it."""
-    every = F.flatten(dists)
-    return F.transform(phones, lambda p: F.aggregate(every, F.lit(0.0), lambda best, d: F.when(d["phone"] == p, F.greatest(best, d["prob"])).otherwise(best)))
+    best = lambda every, p: F.aggregate(every, F.lit(0.0), lambda most, d: F.when(d["phone"] == p, F.greatest(most, d["prob"])).otherwise(most))
+    return once(F.flatten(dists), lambda every: F.transform(phones, lambda p: best(every, p)))
 
 
 def zero_scored(scored: DataFrame) -> DataFrame:

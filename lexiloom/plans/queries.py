@@ -584,9 +584,9 @@ def letter_dists(spark, sf_dir) -> DataFrame:
         told.setdefault(r.letter, []).append((-r.n, r.phone))
     of = {c: (sum(-n for n, _ in x), sorted(x)) for c, x in told.items()}
     one = lambda c: F.array(*(F.struct(F.lit(p).alias("phone"), F.lit(-n / of[c][0]).alias("prob")) for n, p in of[c][1]))
-    table = F.create_map(*(x for c in sorted(of) for x in (F.lit(c), one(c))))
+    table = lambda c: F.coalesce(*(F.when(c == k, one(k)) for k in sorted(of)))
     held = lexicon(spark, sf_dir).where(~F.exists("letters", lambda c: ~c.isin(sorted(of))))
-    rows = held.withColumn("dists", F.transform("letters", lambda c: table[c]))
+    rows = held.withColumn("dists", F.transform("letters", table))
     return rows.withColumn("predicted", TR.predicted(F.col("dists")))
 
 
