@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, its decoding checked, and parity with the sentencepiece library. Null text encodes as empty (llm/sentencepiece.py)."""
     from lexiloom.llm.sentencepiece import encode
 
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), parity=True)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and random strings of every text; null text has none (llm/secrets.py)."""
     from lexiloom.llm.secrets import scan
 
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -54,18 +56,51 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every text, windows over line breaks included; null text has none (llm/licenses.py)."""
     from lexiloom.llm.licenses import scan
 
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or link-graph verdict of every page; a url without host is allowed unless a rule says else (llm/urls.py)."""
     from lexiloom.llm.urls import judge_urls
 
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def _op4_sql() -> str:
+    from lexiloom.llm import urls as u
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    low = lambda x: f"translate({x}, '{u._UPPER}', '{u._LOWER}')"
+    rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = lambda h, p: f"(host = {quoted(h)} OR ends_with(host, {quoted('.' + h)})) AND starts_with(path, {quoted(p)})"
+    rule, said = (" ".join(f"WHEN {fits(h, p)} THEN {quoted(x)}" for (h, p, v) in rules for x in [(h + p, v)[k]]) for k in (0, 1))
+    rounds, last = [], "start"
+    for k in range(u.ROUNDS):
+        rounds.append(f"""r{k} AS MATERIALIZED (SELECT s.kind, s.host, {1 - u.DAMPING} * s.seed + {u.DAMPING} * coalesce(g.got, 0) AS score, s.seed FROM start s LEFT JOIN
+  (SELECT p.kind, p.dst AS host, sum(p.part * n.score) AS got FROM parts p JOIN {last} n ON n.kind = p.kind AND n.host = p.src GROUP BY ALL) g USING (kind, host))""")
+        last = f"r{k}"
+    return f"""
+WITH apart AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, html, {low("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM apart),
+judged AS MATERIALIZED (SELECT page_id, host, path, html, CASE {rule} END AS rule, CASE {said} END AS said FROM named),
+seeds AS (SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM judged WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, {low("dst")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, {quoted(u.LINK)}, 1)) AS dst FROM judged) WHERE host <> '' AND dst <> ''
+  UNION ALL SELECT host, host FROM (SELECT host, unnest(regexp_extract_all(html, {quoted(u.RELATIVE)})) AS x FROM judged) WHERE host <> ''),
+edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links GROUP BY ALL),
+ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+hosts AS (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+start AS MATERIALIZED (SELECT kind, host, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0.0) AS seed, coalesce(CASE kind WHEN 'trust' THEN trust ELSE distrust END, 0.0) AS score FROM hosts CROSS JOIN (VALUES ('trust'), ('distrust')) AS k(kind) LEFT JOIN seeds USING (host)),
+parts AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM ways UNION ALL SELECT kind, host, host, 1.0 FROM start s WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.kind = s.kind AND w.src = s.host)),
+{', '.join(rounds)},
+scores AS (SELECT host, round(sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END), 6) AS trust, round(sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END), 6) AS distrust FROM {last} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust FROM judged LEFT JOIN scores USING (host)"""
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross and relative entropy of every text against the good documents of its language; null where there are none (llm/lmscore.py)."""
     from lexiloom.llm.lmscore import good_ids, score
 
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -85,12 +120,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector; unusable vectors link with nothing (llm/neardup.py)."""
     from lexiloom.llm.neardup import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op7_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, chance and draw of every document; null source, language and topic are values (llm/mixing.py)."""
     from lexiloom.llm.mixing import mix
 
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -121,12 +158,14 @@ SELECT doc_id, substr(topic, 2) AS topic, n_tokens, coalesce(weight, 0.0) AS wei
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every text; null text has no words and fails (llm/quality.py)."""
     from lexiloom.llm.quality import quality_rules
 
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text; a text without words has fingerprint zero (llm/simhash.py)."""
     from lexiloom.llm.simhash import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -137,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql(), "op7_mix_to_target_weights": _op7_sql()}
+    return {"op2_secret_scans": _op2_sql(), "op4_url_filters": _op4_sql(), "op7_mix_to_target_weights": _op7_sql()}

@@ -86,5 +86,23 @@ def test_matches_brute_force(spark):
     assert verdicts[3][4] == "block" and verdicts[2][4] == "allow"  # by links alone
 
 
+def test_sql_agrees(spark):
+    """The registered SQL over linked pages, which the tables at hand lack."""
+    import duckdb
+    import pandas as pd
+
+    from lexiloom.llm.queries import oracle_sql
+
+    pages = pd.DataFrame([(k, a, b) for k, (a, b) in enumerate(PAGES)], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    told = con.execute(oracle_sql()["op4_url_filters"]).fetchall()
+    want = {k: w for k, w in enumerate(brute(PAGES))}
+    assert len(told) == len(want)
+    for r in told:
+        w = want[r[0]]
+        assert r[1:5] == w[:4] and abs(r[5] - w[4]) < 3e-6 and abs(r[6] - w[5]) < 3e-6
+
+
 def test_empty_table(spark):
     assert u.judge_urls(spark.createDataFrame([], SCHEMA)).collect() == []
