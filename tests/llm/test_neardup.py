@@ -114,3 +114,31 @@ def test_audit_sees_what_is_missing(spark):
 
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_across_many_blocks(spark, monkeypatch):
+    """Small blocks, so that bits and tables matter, short lists and small tiles: all links are still there."""
+    for name, value in {"BLOCK": 16, "LIST": 6, "TILE": 20}.items():
+        monkeypatch.setattr(nd, name, value)
+    bits, tables = nd._plan(260, nd.THRESHOLD)
+    assert bits > 3 and (1 - (1 - np.arccos(nd.THRESHOLD) / np.pi) ** bits) ** tables <= nd.MISS
+    r = np.random.default_rng(5)
+    rows, at = make(), r.normal(size=16)
+    for _ in range(60):  # a chain, more than a tile, of vectors with few links each
+        off = r.normal(size=16)
+        at = at / np.linalg.norm(at) + 0.12 * off / np.linalg.norm(off)
+        rows.append((len(rows), [float(x) for x in at], 1, 1, "clash", "clash"))
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(tuple(r)[:4]) for r in got) == sorted(map(str, brute(rows)))
+
+
+def test_work_is_in_proportion_to_links(spark):
+    """Vectors without links ask for next to none of the others: each kept a dozen neighbours, in every round, before."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 64))
+    x[3990:] = x[:10] + 0.01 * r.normal(size=(10, 64))
+    rows = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    nodes, _ = nd.nodes_of(rows, "vec_id", "embedding", "label")
+    links, saturated = nd.graph(nodes)
+    assert links.count() == 10 and saturated.count() == 0
+    assert nd._candidates(nodes, nd.THRESHOLD, 0).count() <= 400
