@@ -11,8 +11,10 @@ shard's lines (its states as intervals of a suffix array); a match must occur
 outside the document itself, so states know the only document that holds them. c phrases against a shard of length m cost
 c log2(m) bits; summed over lines and divided by the text's n code points they
 give the cross entropy, and less the document's own LZ78 rate k log2(k) / n the
-relative entropy, in bits a code point: low for text like the reference. Shards
-that many lines meet are repeated, so neither a hot language nor a line that
+relative entropy, in bits a code point: low for text like the reference. With
+``whole``, as in the query, a line is parsed against all reference lines of its
+language instead (llm/phraseindex.py), m being the code points of them all, and
+nothing depends on the shards. Shards that many lines meet are repeated, so neither a hot language nor a line that
 repeats in a third of the documents makes a large task.
 
 Defined cases: null or empty text has no phrases and null scores; a text whose
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.phraseindex import build, opened
 from lexiloom.llm.shared import checkpointed
 
 SHARD_CHARS = 1 << 16
@@ -334,15 +337,65 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id")
 
 
-def score(docs: DataFrame, reference_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+WHOLE = "doc_id long, n_chars long, own long, phrases long, bits long"
+#: Code points of the texts that are parsed in one go.
+WHOLE_CHARS = 16 << 20
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, own, phrases, bits) of rows (doc_id, text, lang, is_reference), parsed against all reference lines of their language."""
+    reference = rows.where("is_reference and lang is not null")
+    # a language of which the reference has nothing but line ends is known, and without index
+    known = {r.lang: (None, 2) for r in reference.where(F.length("text") > 0).select("lang").distinct().collect()}
+    known |= build(reference.select(F.col("lang").alias("grp"), F.explode(F.split("text", "\n")).alias("line"), "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str | None, list[tuple]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, docs in waiting.items():
+                if lang not in known:
+                    yield _batch([(i, len(text), None, None, None) for i, text, _ in docs], WHOLE)
+                    continue
+                place, chars = known[lang]
+                lines = [[x for x in text.split("\n") if x] for _, text, _ in docs]
+                if place is None:
+                    phrases = [sum(map(len, own)) for own in lines]
+                else:
+                    told = opened(place).phrases([x.encode() for own in lines for x in own], [i if is_reference else None for (i, _, is_reference), own in zip(docs, lines, strict=True) for _ in own])
+                    ends = np.cumsum([0, *map(len, lines)])
+                    sums = np.append(0, np.cumsum(told))
+                    phrases = (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+                bits = math.log2(max(2, chars)) * MICRO
+                yield _batch([(i, len(text), own_phrases(text), p, round(p * bits)) for (i, text, _), p in zip(docs, phrases, strict=True)], WHOLE)
+            waiting.clear()
+
+        for batch in batches:
+            for i, text, lang, is_reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.setdefault(lang, []).append((i, text, is_reference))
+                size += len(text) + 64
+                if size > WHOLE_CHARS:
+                    yield from flush()
+                    size = 0
+        if waiting:
+            yield from flush()
+
+    return rows.select("doc_id", "text", "lang", "is_reference").mapInArrow(run, WHOLE)
+
+
+def score(docs: DataFrame, reference_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
     """(doc_id, n_chars, n_phrases, n_own_phrases, cross_entropy, relative_entropy) of every row of ``docs``.
 
     ``reference_ids`` (doc_id): the documents that serve as reference of their language.
+    ``whole``: parse against all reference lines of the language, not the line's shard of them.
     """
     ids = checkpointed(reference_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_reference", F.lit(True)))
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     text, lang = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang")).join(ids, "doc_id", "left").withColumn("is_reference", F.coalesce("is_reference", F.lit(False)))
+    if whole:
+        return _told(_whole(rows))
     sizes = rows.where("is_reference and lang is not null").groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).where("chars > 0")
     sizes = F.broadcast(checkpointed(sizes.select("lang", F.ceil(F.col("chars") / SHARD_CHARS).alias("shards"))))  # one row a language
     hashed = lambda line: F.pmod(F.xxhash64(line), F.col("shards"))
@@ -364,6 +417,11 @@ def score(docs: DataFrame, reference_ids: DataFrame, id_col: str = "doc_id", tex
     seated = seated.select("x.key", "x.is_doc", "row_id", "doc_id", "is_reference", "n_chars", F.when(F.col("known"), F.col("n_own_phrases")).alias("n_own_phrases"), "line", F.when(F.col("x.key").isNull(), F.col("row_id")).alias("spread"))
     parsed = seated.repartition("key", "spread").sortWithinPartitions("key", "is_doc").drop("spread").mapInArrow(_parse, PARSED)
     told = parsed.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("n_own_phrases").alias("own"), F.sum("phrases").alias("phrases"), F.sum("bits").alias("bits"))
+    return _told(told)
+
+
+def _told(told: DataFrame) -> DataFrame:
+    """The scores of (doc_id, n_chars, own, phrases, bits)."""
     phrases = F.when(F.col("own").isNotNull(), F.coalesce("phrases", F.lit(0)))
     cross = F.when(F.col("own").isNotNull() & (F.col("n_chars") > 0), F.coalesce("bits", F.lit(0)) / float(MICRO) / F.col("n_chars"))
     rate = F.when(F.col("own") > 0, F.col("own") * F.log2(F.col("own").cast("double"))) / F.col("n_chars")

@@ -100,10 +100,10 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross and relative entropy of every text against the good documents of its language; null where there are none (llm/lmscore.py)."""
+    """Cross and relative entropy of every text against all good documents of its language; null where there are none (llm/lmscore.py)."""
     from lexiloom.llm.lmscore import good_ids, score
 
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")), whole=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from lexiloom.llm import lmscore as lm
+from lexiloom.llm import phraseindex as px
 
 
 def plain_cross(reference, text):
@@ -133,3 +134,46 @@ def test_good_ids_and_empty(spark):
     assert [r.doc_id for r in lm.good_ids(labels).collect()] == [1]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert lm.score(empty, lm.good_ids(labels)).collect() == []
+
+
+def test_whole_scores_match_brute_force(spark, monkeypatch):
+    """Every line against all reference lines of its language, in several pieces and buckets, by plain substring search."""
+    for name, value in {"PIECE": 900, "BUCKET": 700, "CHUNK": 500, "RUN": 4}.items():
+        monkeypatch.setattr(px, name, value)
+    rows = [r for r in make() if r[0] != 904]
+    rows += [(3000, "é😀 abcd ab￿z\0q\n" + "abab" * 60, "en", "c"), (3001, "ab" * 90 + "\n" + "ab" * 50 + "é😀", "en", "c"), (3002, "ẞ efgh\n\n", "fr", "c"), (3003, "\n\n", "it", "c"), (3004, "nel mezzo", "it", "c")]
+    rows += [(3100 + k, rows[3][1][:40] + words(random.Random(k), "abcd", 3), "en", "c") for k in range(30)]
+    ids = {i for i in range(240) if i % 3 < 2 and i % 2} | {3000, 3001, 3002, 3003} | {3100 + k for k in range(0, 30, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_phrases string")
+    got = sorted((tuple(r) for r in lm.score(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"), whole=True).collect()), key=str)
+    reference, size = {}, {}
+    for i, text, lang, _ in rows:
+        if i in ids and text:
+            size.setdefault(lang, 0)
+            for line in filter(None, text.split("\n")):
+                reference.setdefault(lang, []).append((i, line))
+                size[lang] += len(line)
+    want = []
+    for i, text, lang, _ in rows:
+        text = text or ""
+        if lang not in size:
+            want.append((i, len(text), None, None))
+            continue
+        there = [x for o, x in reference.get(lang, []) if i not in ids or o != i]
+        phrases = sum(plain_cross(there, line) for line in text.split("\n"))
+        want.append((i, len(text), phrases, plain_own(text), phrases * math.log2(max(2, size[lang])) / len(text) if text else None))
+    want.sort(key=str)
+    assert [a[:4] for a in got] == [b[:4] for b in want]
+    for a, b in zip(got, want, strict=True):
+        assert len(b) == 4 or (a[4] is None and b[4] is None) or abs(a[4] - b[4]) < 2e-6
+
+
+def test_phrases_of_all_shards_are_seen(spark, monkeypatch):
+    """A line of pieces from many reference lines has one phrase for each, wherever they are."""
+    monkeypatch.setattr(lm, "SHARD_CHARS", 200)
+    r = random.Random(12)
+    rows = [(k, words(r, "abcdefghij", 12), "en") for k in range(60)]
+    rows.append((500, "".join(x[1][5:35] for x in rows[:10]), "en"))
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k,) for k in range(60)], "doc_id long")
+    got = {r.doc_id: r.n_phrases for r in lm.score(docs, ids, whole=True).collect()}
+    assert got[500] <= 10 < {r.doc_id: r.n_phrases for r in lm.score(docs, ids).collect()}[500]
