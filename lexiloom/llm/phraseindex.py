@@ -2,11 +2,11 @@
 
 The distinct lines of a group (UTF-8, each ended by the byte 0xFF, which no text
 has) stand one after another in one file. Suffixes are dealt into buckets by
-their first eight bytes, at splitters from a sample; a task sorts a bucket and
-writes it at its place of the one array, so buckets in order are the suffix
-array. Suffixes alike in more than ``DEPTH`` bytes stay unsorted in groups of up
-to ``WINDOW``, whose members searches look at one by one. Each ``STEP``-th key is
-kept apart to start a search from. Lines know the only document that holds them.
+their first eight bytes, at splitters from a sample, in one pass over the text; a task
+sorts a bucket and writes it at its place of the one array, so buckets in order are the
+suffix array. Suffixes alike in more than ``DEPTH`` bytes stay unsorted in groups of up
+to ``WINDOW``, whose members searches look at one by one. The first sixteen bytes of each
+``STEP``-th suffix are kept apart to start a search from. Lines know the only document that holds them.
 
 Files are mapped, so ``spark.checkpoint.dir`` must be a folder that is mounted on
 all machines. Memory of a task: one bucket, some 50 bytes a suffix. A bucket is
@@ -15,6 +15,7 @@ never cut: it holds all suffixes with the first eight bytes of a splitter.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import uuid
@@ -35,9 +36,11 @@ STEP, DEPTH, WINDOW = 32, 24, 8
 #: Neighbours in the array of one document that are passed over one by one; longer runs are noted.
 RUN = 64
 #: Fewer lines than FEW, with phrases of fewer than SHORT bytes, look up STRETCH places at once.
-FEW, SHORT, STRETCH = 512, 64, 16_384
+FEW, SHORT, STRETCH = 64, 64, 16_384
 #: Bytes between which a chunk's keys are counted.
 CHUNK = 4 << 20
+#: Of an asked line of which no copy in the text is known.
+NOWHERE = np.iinfo(np.int64).min // 2
 
 END, ASKED_END = b"\xff", b"\xfe"
 
@@ -51,12 +54,19 @@ def _little(text: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
 
 
+def _common(x: np.ndarray) -> np.ndarray:
+    """Bytes that two words (by ``_little``) have in common before they differ, from their ``x`` = one ^ other."""
+    return (np.bitwise_count(~x & (x - np.uint64(1))) >> 3).astype(np.int64)
+
+
 def _alike(asked: np.ndarray, text: np.ndarray, p: np.ndarray, t: np.ndarray, known: int = 0) -> np.ndarray:
     """Bytes that ``asked`` from each ``p`` on and ``text`` from each ``t`` on (both by ``_little``) have in common; ``known`` at least.
 
     Words are compared one first, then more at once, as matches of copies are long. There is a difference before the end of either.
     """
-    out, active, width = np.full(len(p), known, np.int64), np.arange(len(p)), 1
+    x = asked[p + known] ^ text[t + known]
+    out = known + _common(x)
+    active, width = np.nonzero(x == 0)[0], 1
     while len(active):
         if width == 1:
             x = asked[p[active] + out[active]] ^ text[t[active] + out[active]]
@@ -66,8 +76,7 @@ def _alike(asked: np.ndarray, text: np.ndarray, p: np.ndarray, t: np.ndarray, kn
             x = asked[np.minimum(p[active, None] + ahead, len(asked) - 1)] ^ text[np.minimum(t[active, None] + ahead, len(text) - 1)]
             first = (x != 0).argmax(axis=1)
             x = x[np.arange(len(x)), first]
-        low = np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1  # of the lowest bit that differs
-        out[active] += np.where(x == 0, 8 * width, 8 * first + low // 8)
+        out[active] += np.where(x == 0, 8 * width, 8 * first + _common(x))
         active, width = active[x == 0], min(2 if width == 1 else 4 * width, 64)
     return out
 
@@ -77,6 +86,27 @@ def _is_start(text: np.ndarray) -> np.ndarray:
     return ((text & 0xC0) != 0x80) & (text != 0xFF)
 
 
+def _bound(values: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, before: Callable) -> np.ndarray:
+    """Between each ``low`` and ``high``, where ``values`` are sorted: the first place whose value isn't ``before`` the key."""
+    low, high = low.copy(), high.copy()
+    active = np.nonzero(low < high)[0]
+    while len(active):
+        mid = (low[active] + high[active]) >> 1
+        more = before(values[mid], key[active])
+        low[active] = np.where(more, mid + 1, low[active])
+        high[active] = np.where(more, high[active], mid)
+        active = active[low[active] < high[active]]
+    return low
+
+
+def _lines_at(starts: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The line of each place, searched in order, as that meets what is cached."""
+    order = np.argsort(t)
+    line = np.empty(len(t), np.int64)
+    line[order] = np.searchsorted(starts, t[order], "right") - 1
+    return line
+
+
 def _folder(spark) -> str:
     place = shared_dir(spark)
     if place.startswith("file:"):
@@ -93,8 +123,7 @@ def _sort_bucket(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarra
     """Places ``at`` (whose first eight bytes are ``key``) in the order of their suffixes, groups of up to WINDOW only to DEPTH bytes."""
     order = np.argsort(key)
     at, key = at[order], key[order]
-    new = np.append(True, key[1:] != key[:-1])
-    todo, group = np.arange(len(at)), np.cumsum(new)
+    todo, group = np.arange(len(at)), np.cumsum(np.append(True, key[1:] != key[:-1]))
     little, end, depth = _little(text), len(text) - 8, 8
     while True:
         sizes = np.bincount(group)
@@ -104,12 +133,15 @@ def _sort_bucket(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarra
             return at
         there = at[todo]
         key = little[np.minimum(there + depth, end)].astype(np.uint64).byteswap()
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(group[order], kind="stable")]
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        rank += group << 32  # groups follow each other, so their numbers stay where they are
+        order = np.argsort(rank)
         at[todo] = there[order]
-        key = key[order]  # groups follow each other, so their numbers stay where they are
-        new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
-        group = np.cumsum(new)
+        rank = rank[order]
+        group = np.cumsum(np.append(True, rank[1:] != rank[:-1]))
         depth += 8
 
 
@@ -120,6 +152,7 @@ class Index:
         mapped = lambda name, kind: np.memmap(f"{place}/{name}", kind, "r").view(np.ndarray)
         self.text = mapped("text", np.uint8)
         self.array = mapped("array", np.uint32 if len(self.text) < 1 << 32 else np.int64)
+        self.next_sampled = mapped("next_sampled", np.uint64)
         self.sampled, self.single = mapped("sampled", np.uint64), mapped("single", np.uint8)
         self.starts, self.owner = mapped("starts", np.int64), mapped("owners", np.int64)
         runs = [np.load(f"{place}/{x}") for x in sorted(os.listdir(place)) if x.startswith("runs-")]
@@ -127,69 +160,108 @@ class Index:
         self.runs = runs[np.argsort(runs[:, 0])]
         self.little, self.n = _little(self.text), len(self.array)
 
-    def owned(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Whether the suffix at each place of the array is of a line that only document ``own`` holds."""
-        line = np.searchsorted(self.starts, self.array[at].astype(np.int64), "right") - 1
-        return (self.single[line] == 1) & (self.owner[line] == own)
-
-    def after(self, asked: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """For each place ``q`` of the asked text: how many suffixes of the array come before what is there."""
-        key = _keys(asked, q)
-        low = np.maximum(np.searchsorted(self.sampled, key, "left") - 1, 0) * STEP
-        high = np.minimum(np.searchsorted(self.sampled, key, "right") * STEP, self.n)
-        words = _little(asked)
-        active = np.nonzero(low < high)[0]
-        while len(active):
-            mid = (low[active] + high[active]) // 2
-            t, p, k = self.array[mid].astype(np.int64), q[active], key[active]
+    def owned(self, t: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether each place of the text is of a line that only document ``own`` holds."""
+        line = _lines_at(self.starts, t)
+        return (self.owner[line] == own) & (self.single[line] == 1)
+
+    def after(self, asked: np.ndarray, q: np.ndarray, key: np.ndarray, more_key: np.ndarray, copy: np.ndarray) -> np.ndarray:
+        """For each place ``q`` of the asked text: how many suffixes of the array come before what is there.
+
+        ``key``, ``more_key``: the first eight bytes, in order, and the eight after them; ``copy``: as in ``longest``.
+        """
+        # between two sampled suffixes, by eight bytes and, among equals, by eight more
+        lower = np.searchsorted(self.sampled, key, "left")
+        upper = lower.copy()
+        equal = np.nonzero(self.sampled[np.minimum(lower, len(self.sampled) - 1)] == key)[0]
+        last = np.searchsorted(self.sampled, key[equal], "right")
+        lower[equal] = _bound(self.next_sampled, lower[equal], last, more_key[equal], np.less)
+        upper[equal] = _bound(self.next_sampled, lower[equal], last, more_key[equal], np.less_equal)
+        place, high = np.where(lower > 0, (lower - 1) * STEP + 1, 0), np.minimum(upper * STEP, self.n)
+        rest = np.nonzero(place < high)[0]
+        low, high, key = place[rest], high[rest], key[rest]
+        words, end = _little(asked), len(self.little) - 1
+        while len(rest):
+            mid = (low + high) >> 1
+            t = self.array[mid].astype(np.int64)
             there = self.little[t].byteswap()
-            more = there < k
-            same = np.nonzero(there == k)[0]
+            more = there < key
+            same = np.nonzero(there == key)[0]
             if len(same):
-                both = _alike(words, self.little, p[same], t[same], 8)
-                more[same] = self.text[t[same] + both] < asked[p[same] + both]
-            low[active] = np.where(more, mid + 1, low[active])
-            high[active] = np.where(more, high[active], mid)
-            active = active[low[active] < high[active]]
-        return low
-
-    def alike(self, asked: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Bytes that the asked text at ``q`` and the suffix at each place of the array have in common."""
-        return _alike(_little(asked), self.little, q, self.array[at].astype(np.int64))
-
-    def longest(self, asked: np.ndarray, q: np.ndarray, own: np.ndarray, has_own: np.ndarray) -> np.ndarray:
-        """Bytes of the longest match of what is at each ``q``, outside document ``own`` where it has one."""
-        place = self.after(asked, q)
-        best, deep = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+                t, k = t[same], more_key[rest[same]]
+                there = self.little[np.minimum(t + 8, end)].byteswap()
+                more[same] = there < k
+                deep = np.nonzero(there == k)[0]
+                if len(deep):
+                    same, t = same[deep], t[deep]
+                    p = q[rest[same]]
+                    new = np.nonzero(t - p != copy[rest[same]])[0]  # what is asked for ends before its copy
+                    same, t, p = same[new], t[new], p[new]
+                    both = _alike(words, self.little, p, t, 16)
+                    more[same] = self.text[t + both] < asked[p + both]
+            low, high = np.where(more, mid + 1, low), np.where(more, high, mid)
+            on = low < high
+            if not on.all():
+                place[rest] = low
+                rest, low, high, key = rest[on], low[on], high[on], key[on]
+        return place
+
+    def longest(self, asked: np.ndarray, q: np.ndarray, room: np.ndarray, own: np.ndarray, has_own: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the longest match of what is at each ``q``, outside document ``own`` where it has one; ``room``: bytes up to the line's end.
+
+        ``copy``: how far from an asked line the text has that line's rest in the same document, or NOWHERE; returned
+        with those found here. Most places of a reference document meet themselves, which then needs no comparison.
+
+        On either side the nearest suffix outside the document is taken. Those alike in DEPTH bytes may be
+        unsorted: then up to WINDOW of them are looked at, until one is less alike or the match fills the line.
+        """
+        words, end = _little(asked), len(self.little) - 1
+        key = words[q].byteswap()
+        order = np.argsort(key)  # neighbours in the array are asked for one after another, as that meets what is cached
+        key, q, room, own, has_own, copy = key[order], q[order], room[order], own[order], has_own[order], copy[order]
+        first, then = key.byteswap(), words[q + 8]
+        place = self.after(asked, q, key, then.byteswap(), copy)
+        best = np.zeros(len(q), np.int64)
         for step in (-1, 1):
-            at = place - 1 if step < 0 else place.copy()
-            inside = np.nonzero((at >= 0) & (at < self.n))[0]
-            found = self.alike(asked, q[inside], at[inside])
-            deep[inside] |= found >= DEPTH
-            mine = np.zeros(len(inside), bool)
-            asks = np.nonzero(has_own[inside])[0]
-            mine[asks] = self.owned(at[inside[asks]], own[inside[asks]])
-            np.maximum.at(best, inside[~mine], found[~mine])
-            active = inside[mine]
-            moved = []
-            while len(active):
-                at[active] = self._passed(at[active], step)
-                active = active[(at[active] >= 0) & (at[active] < self.n)]
-                still = self.owned(at[active], own[active])
-                moved.append(active[~still])
-                active = active[still]
-            if moved:
-                moved = np.concatenate(moved)
-                best[moved] = np.maximum(best[moved], self.alike(asked, q[moved], at[moved]))
-        deep = np.nonzero(deep)[0]
-        for k in range(-WINDOW, WINDOW if len(deep) else -WINDOW):
-            at = place[deep] + k
-            inside = (at >= 0) & (at < self.n)
-            rows, at = deep[inside], at[inside]
-            free = ~(has_own[rows] & self.owned(at, own[rows]))
-            rows, at = rows[free], at[free]
-            best[rows] = np.maximum(best[rows], self.alike(asked, q[rows], at))
-        return best
+            rows, at, looked = np.arange(len(q)), place - 1 if step < 0 else place, 0
+            free = np.zeros(len(q), bool)  # whether one outside the document was met on this side
+            while len(rows):
+                inside = (at >= 0) & (at < self.n) & (best[rows] < room[rows])
+                if not inside.all():
+                    rows, at = rows[inside], at[inside]
+                t = self.array[at].astype(np.int64)
+                x = first[rows] ^ self.little[t]
+                found = _common(x)
+                same = np.nonzero(x == 0)[0]
+                x = then[rows[same]] ^ self.little[np.minimum(t[same] + 8, end)]
+                found[same] += _common(x)
+                same = same[x == 0]
+                mine = np.zeros(len(rows), bool)
+                known = t[same] - q[rows[same]] == copy[rows[same]]
+                mine[same[known]], found[same[known]] = True, room[rows[same[known]]]
+                same = same[~known]
+                found[same] = _alike(words, self.little, q[rows[same]], t[same], 16)
+                asks = np.nonzero(has_own[rows] & ~mine)[0]
+                if len(asks):
+                    mine[asks] = self.owned(t[asks], own[rows[asks]])
+                    asks = asks[mine[asks] & (found[asks] == room[rows[asks]])]
+                    asks = asks[self.text[t[asks] + found[asks]] == 0xFF]
+                    copy[rows[asks]] = t[asks] - q[rows[asks]]
+                looked += 1
+                if len(rows) == len(q):
+                    free = ~mine
+                    best = np.maximum(best, found * free)
+                else:
+                    best[rows] = np.maximum(best[rows], found * ~mine)
+                    free[rows] |= ~mine
+                on = mine & ~free[rows]
+                if looked < WINDOW:
+                    on |= found >= DEPTH
+                rows, at, mine = rows[on], at[on], mine[on]
+                at = np.where(mine, self._passed(at, step), at + step)
+        out, copies = np.empty(len(q), np.int64), np.empty(len(q), np.int64)
+        out[order], copies[order] = best, copy
+        return out, copies
 
     def _passed(self, at: np.ndarray, step: int) -> np.ndarray:
         if not len(self.runs):
@@ -210,9 +282,10 @@ class Index:
         q = ends - lengths
         has_own = np.array([o is not None for o in owners], bool)
         own = np.array([o or 0 for o in owners], np.int64)
+        copy = np.full(len(lines), NOWHERE, np.int64)
         count, active = np.zeros(len(lines), np.int64), np.nonzero(lengths)[0]
         while len(active):
-            to = self._next(asked, q[active], own[active], has_own[active])
+            to, copy[active] = self._next(asked, q[active], ends[active] - q[active], own[active], has_own[active], copy[active])
             short = active[(to - q[active] < SHORT) & (to < ends[active])]
             q[active] = to
             count[active] += 1
@@ -226,7 +299,7 @@ class Index:
                 at = np.concatenate(at)
                 starts = (asked[at] & 0xC0) != 0x80
                 at, rows = at[starts], rows[starts]
-                to = dict(zip(at.tolist(), self._next(asked, at, own[rows], has_own[rows]).tolist(), strict=True))
+                to = dict(zip(at.tolist(), self._next(asked, at, ends[rows] - at, own[rows], has_own[rows], copy[rows])[0].tolist(), strict=True))
                 for k in short.tolist():
                     here, n = int(q[k]), 0
                     while here in to and here < ends[k]:
@@ -235,16 +308,20 @@ class Index:
             active = active[q[active] < ends[active]]
         return count
 
-    def _next(self, asked: np.ndarray, q: np.ndarray, own: np.ndarray, has_own: np.ndarray) -> np.ndarray:
-        """Where the phrase that starts at each ``q`` ends."""
-        to = q + (self.longest(asked, q, own, has_own) if self.n else 0)
-        for _ in range(3):  # not into a code point
-            to -= (asked[to] & 0xC0) == 0x80
-        none = to <= q
-        to[none] = q[none] + 1
-        for _ in range(3):
-            to[none] += (asked[to[none]] & 0xC0) == 0x80
-        return to
+    def _next(self, asked: np.ndarray, q: np.ndarray, room: np.ndarray, own: np.ndarray, has_own: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the phrase that starts at each ``q`` ends, and ``copy`` as in ``longest``."""
+        found, copy = self.longest(asked, q, room, own, has_own, copy) if self.n else (0, copy)
+        to = q + found
+        inner = np.nonzero((asked[to] & 0xC0) == 0x80)[0]
+        while len(inner):  # not into a code point
+            to[inner] -= 1
+            inner = inner[(asked[to[inner]] & 0xC0) == 0x80]
+        inner = np.nonzero(to <= q)[0]
+        to[inner] = q[inner]
+        while len(inner):  # one code point that no line has
+            to[inner] += 1
+            inner = inner[(asked[to[inner]] & 0xC0) == 0x80]
+        return to, copy
 
 
 @functools.lru_cache(maxsize=64)
@@ -320,26 +397,55 @@ def build(lines: DataFrame) -> dict[str, tuple[str, int]]:
         """``job`` for each of ``jobs``, one a task."""
         return spark.sparkContext.parallelize(jobs, max(1, len(jobs))).map(lambda x: job(*x)).collect()
 
-    def count(place: str, a: int, b: int) -> tuple[str, list[int]]:
+    def count(place: str, a: int, b: int) -> tuple[str, int, np.ndarray]:
         text = np.memmap(f"{place}/text", np.uint8, "r")
         key = _keys(text, slice(a, b))[_is_start(np.asarray(text[a:b]))]
         key.sort()
-        return place, np.diff(np.searchsorted(key, splits[place]), prepend=0, append=len(key)).tolist()
+        return place, a, np.diff(np.searchsorted(key, splits[place]), prepend=0, append=len(key))
 
     found: dict[str, np.ndarray] = {}
-    for place, n in run(count, [(p, a, min(a + PIECE, b)) for p, (b, _) in totals.items() for a in range(0, b, PIECE)]):
-        found[place] = found.get(place, 0) + np.array(n, np.int64)
+    counted = run(count, [(p, a, min(a + PIECE, b)) for p, (b, _) in totals.items() for a in range(0, b, PIECE)])
+    for place, _, n in counted:
+        found[place] = found.get(place, 0) + n
+    kind = {place: np.dtype(np.uint32 if n_bytes + 8 < 1 << 32 else np.int64) for place, (n_bytes, _) in totals.items()}
     jobs = []
     for place, n in found.items():
-        kind = 4 if totals[place][0] + 8 < 1 << 32 else 8
-        _grown(f"{place}/array", int(n.sum()) * kind)
-        _grown(f"{place}/sampled", -(-int(n.sum()) // STEP) * 8)
+        _grown(f"{place}/array", int(n.sum()) * kind[place].itemsize)
+        for name in ("sampled", "next_sampled"):
+            _grown(f"{place}/{name}", -(-int(n.sum()) // STEP) * 8)
         jobs += [(place, k, int(n[:k].sum()), int(n[k])) for k in range(len(n)) if n[k]]
 
-    def sort(place: str, k: int, first: int, n: int) -> None:
+    # places go to a file a bucket, in the order of the pieces that they are from
+    shares: dict[tuple[str, int], np.ndarray] = {}
+    so_far = {p: np.zeros(len(n), np.int64) for p, n in found.items()}
+    for place, a, n in counted:
+        shares[place, a] = so_far[place]
+        so_far[place] = so_far[place] + n
+    for place, k, _, n in jobs:
+        _grown(f"{place}/dealt-{k}", n * kind[place].itemsize)
+
+    def deal(place: str, a: int, b: int, share: np.ndarray) -> None:
         text = np.memmap(f"{place}/text", np.uint8, "r")
-        at, keys, have = np.empty(n, np.int64), np.empty(n, np.uint64), 0
+        at = np.nonzero(_is_start(np.asarray(text[a:b])))[0]
+        key = _keys(text, slice(a, b))[at]
+        order = np.argsort(key)
+        cuts = np.concatenate([[0], np.searchsorted(key[order], splits[place]), [len(at)]])
+        at = (at[order] + a).astype(kind[place])
+        for k in np.nonzero(np.diff(cuts))[0].tolist():
+            _put(f"{place}/dealt-{k}", at[cuts[k] : cuts[k + 1]], int(share[k]))
+
+    run(deal, [(p, a, min(a + PIECE, totals[p][0]), share) for (p, a), share in shares.items()])
+
+    def gathered(place: str, k: int, n: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a bucket, in order, and their keys: as dealt, or where a task runs again and finds them gone, from the whole text."""
         split = splits[place]
+        if os.path.exists(f"{place}/dealt-{k}"):
+            at = np.sort(np.fromfile(f"{place}/dealt-{k}", kind[place]).astype(np.int64))
+            if len(at) == n and (at[1:] > at[:-1]).all() and at[-1] < len(text) - 8:
+                keys = _keys(text, at)
+                if (k == 0 or keys.min() >= split[k - 1]) and (k == len(split) or keys.max() < split[k]) and _is_start(text[at]).all():
+                    return at, keys  # n places of the bucket, which has n
+        at, keys, have = np.empty(n, np.int64), np.empty(n, np.uint64), 0
         for a, b in _pieces(text, CHUNK):
             key = _keys(text, slice(a, b))
             good = _is_start(np.asarray(text[a:b]))
@@ -350,16 +456,25 @@ def build(lines: DataFrame) -> dict[str, tuple[str, int]]:
             own = np.nonzero(good)[0]
             at[have : have + len(own)], keys[have : have + len(own)] = own + a, key[own]
             have += len(own)
+        return at, keys
+
+    def sort(place: str, k: int, first: int, n: int) -> None:
+        text = np.memmap(f"{place}/text", np.uint8, "r")
+        at, keys = gathered(place, k, n, text)
         at = _sort_bucket(text, at, keys)
-        _put(f"{place}/array", at.astype(np.uint32 if len(text) < 1 << 32 else np.int64), first)
+        _put(f"{place}/array", at.astype(kind[place]), first)
         pick = at[-first % STEP :: STEP]
         _put(f"{place}/sampled", _keys(text, pick), -(-first // STEP))
+        _put(f"{place}/next_sampled", _keys(text, np.minimum(pick + 8, len(text) - 8)), -(-first // STEP))
         starts, owner, single = (np.fromfile(f"{place}/{x}", t) for x, t in (("starts", np.int64), ("owners", np.int64), ("single", np.uint8)))
-        line = np.searchsorted(starts, at, "right") - 1
-        change = np.append(True, (owner[line[1:]] != owner[line[:-1]]) | (single[line[1:]] == 0) | (single[line[:-1]] == 0))
+        line = _lines_at(starts, at)
+        owner, several = owner[line], single[line] == 0
+        change = np.append(True, (owner[1:] != owner[:-1]) | several[1:] | several[:-1])
         cuts = np.append(np.nonzero(change)[0], n)
         long = np.diff(cuts) > RUN
         np.save(f"{place}/runs-{k}.npy", np.stack([cuts[:-1][long], cuts[1:][long]], axis=1).astype(np.int64) + first)
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(f"{place}/dealt-{k}")
 
     run(sort, jobs)
     return {r.grp: (names[r.grp], int(r.chars)) for r in groups}

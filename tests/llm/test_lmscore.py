@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -177,3 +178,43 @@ def test_phrases_of_all_shards_are_seen(spark, monkeypatch):
     docs, ids = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k,) for k in range(60)], "doc_id long")
     got = {r.doc_id: r.n_phrases for r in lm.score(docs, ids, whole=True).collect()}
     assert got[500] <= 10 < {r.doc_id: r.n_phrases for r in lm.score(docs, ids).collect()}[500]
+
+
+def test_reference_lines_are_not_compared_with_themselves(spark, monkeypatch):
+    """A reference document meets itself wherever its phrases start; what is compared must not grow with the square of its lines."""
+    r = random.Random(5)
+    lines = [words(r, "abcdefgh", 1500) for _ in range(3)]
+    rows = [(k, line, "en") for k, line in enumerate(lines)]
+    place, _ = px.build(spark.createDataFrame(rows, "doc_id long, line string, grp string"))["en"]
+    compared, alike = [], px._alike
+
+    def counting(*args):
+        out = alike(*args)
+        compared.append(int(out.sum()))
+        return out
+
+    monkeypatch.setattr(px, "_alike", counting)
+    index = px.Index(place)
+    got = index.phrases([x.encode() for x in lines], [0, 1, 2])
+    assert got.tolist() == [plain_cross([y for y in lines if y != x], x) for x in lines]
+    assert sum(compared) < 20 * sum(map(len, lines))
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_array_holds_every_suffix_in_order(spark, monkeypatch, lost):
+    """Suffixes are dealt to files, in one pass; a sorting task that runs again and lacks its file takes them from the text."""
+    for name, value in {"PIECE": 700, "BUCKET": 500, "CHUNK": 300}.items():
+        monkeypatch.setattr(px, name, value)
+    put = px._put
+    if lost:
+        monkeypatch.setattr(px, "_put", lambda path, data, at: None if "/dealt-" in path else put(path, data, at))
+    r = random.Random(6)
+    rows = [(k, words(r, "abé😀", 30), "en") for k in range(40)] + [(99, "ab" * 60, "en")]
+    place, _ = px.build(spark.createDataFrame(rows, "doc_id long, line string, grp string"))["en"]
+    index = px.Index(place)
+    text = index.text.tobytes()[:-8]
+    at = index.array.tolist()
+    assert sorted(at) == [k for k, b in enumerate(text) if b & 0xC0 != 0x80 and b != 0xFF]
+    told = [index.text[k : k + px.DEPTH].tobytes() for k in at]
+    assert told == sorted(told)
+    assert not [x for x in os.listdir(place) if x.startswith("dealt-")]
