@@ -158,11 +158,30 @@ def build_tokenizer(model: Model):
     return tokenizer
 
 
+def build_decoder(model: Model, tokenizer):
+    """A tokenizer for decoding what ``tokenizer`` encoded: pieces are joined before markers become spaces, not after.
+
+    That differs only for bytes that spell a marker, which no text is encoded as where the marker is a piece; other
+    models get ``tokenizer`` itself, as do those with user-defined pieces.
+    """
+    from tokenizers import Tokenizer, decoders
+
+    kinds = {p: kind for p, _, kind in model.pieces}
+    if not model.byte_fallback or kinds.get(MARK) != NORMAL or USER_DEFINED in kinds.values():
+        return tokenizer
+    quick = Tokenizer(tokenizer.model)
+    parts = [decoders.ByteFallback(), decoders.Fuse(), decoders.Metaspace(replacement=MARK, prepend_scheme="never", split=False)]
+    if model.add_dummy_prefix:
+        parts.append(decoders.Strip(" ", 1, 0))
+    quick.decoder = decoders.Sequence(parts)
+    return quick
+
+
 _BUILT: dict[bytes, tuple] = {}
 
 
 def _built(raw: bytes, threads: int):
-    """(tokenizer, sentencepiece processor) of a model, once per worker process."""
+    """(tokenizer, decoder of what it encodes, sentencepiece processor) of a model, once per worker process."""
     key = hashlib.sha256(raw).digest()
     if key not in _BUILT:
         # read when the library starts its threads
@@ -172,7 +191,9 @@ def _built(raw: bytes, threads: int):
 
         processor = sentencepiece.SentencePieceProcessor()
         processor.LoadFromSerializedProto(raw)
-        _BUILT[key] = build_tokenizer(parse_model(raw)), processor
+        model = parse_model(raw)
+        tokenizer = build_tokenizer(model)
+        _BUILT[key] = tokenizer, build_decoder(model, tokenizer), processor
     return _BUILT[key]
 
 
@@ -210,12 +231,12 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         schema = schema.add("parity", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, processor = _built(raw.value, threads)
+        tokenizer, decoder, processor = _built(raw.value, threads)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(1)):
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                back = decoder.decode_batch(ids, skip_special_tokens=False)
                 arrays = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())]
                 if parity:
                     other = processor.encode(texts, num_threads=threads)

@@ -68,3 +68,20 @@ def test_empty_and_null_ids(spark):
     assert sp.encode(empty).collect() == []
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, token_ids array<int>")
     assert {r.doc_id: r.text for r in sp.decode(rows).collect()} == {1: None, 2: ""}
+
+
+def test_joined_decoding_matches():
+    """Joining pieces before markers become spaces gives the decoding of every encoded text; other ids go to the tokenizer's own decoder."""
+    with open(sp.MODEL, "rb") as f:
+        model = sp.parse_model(f.read())
+    tokenizer = sp.build_tokenizer(model)
+    decoder = sp.build_decoder(model, tokenizer)
+    assert decoder is not tokenizer
+    texts = [t or "" for t in TEXTS] + ["▁a ▁▁b▁", " ▁", "▁", "a\u2581\u0301", "\ue296\u0081"] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()
+    ids = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert decoder.decode_batch(ids, skip_special_tokens=False) == tokenizer.decode_batch(ids, skip_special_tokens=False)
+    # bytes that spell a marker stay one in decode(), and a model without the marker as a piece keeps its decoder
+    spelled = [tokenizer.token_to_id(f"<0x{b:02X}>") for b in sp.MARK.encode()]
+    assert tokenizer.decode(spelled, skip_special_tokens=False) == sp.MARK
+    bare = sp.Model([p for p in model.pieces if p[0] != sp.MARK], model.kind, True)
+    assert sp.build_decoder(bare, tokenizer) is tokenizer
