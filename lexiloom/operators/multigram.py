@@ -2,7 +2,8 @@
 
 Entries are grouped with weights and stay partitioned. The unit table is pruned
 each round and broadcast below a checked size. Each task adds its expected counts
-before the shuffle.
+before the shuffle. ``expected_counts``, ``best_path`` and ``decode`` say what one
+entry gives; tables of entries go through the same sums in numpy (``lattice``).
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import unit_letters, unit_phones
+from lexiloom.operators import lattice
+from lexiloom.session import written
 from lexiloom.symbols import BEGIN, END, EPS, EPSILON, JOINER, UNIT, joins_for
 
 MAX_UNITS = 2_000_000
@@ -93,81 +97,87 @@ def best_path(letters, phones, span_l, span_p, q) -> list[str] | None:
 
 
 def initial_units(entries: DataFrame, span_l: int = 2, span_p: int = 2) -> DataFrame:
-    """(unit, prob): every unit that an entry can hold, uniform."""
-    i, j = F.explode(F.sequence(F.lit(1), F.size("letters"))), F.explode(F.sequence(F.lit(1), F.size("phones") + 1))
-    rows = entries.where("size(letters) > 0").select("letters", "phones").distinct().select("letters", "phones", i.alias("i")).select("letters", "phones", "i", j.alias("j"))
-    left = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(span_l), F.size("letters") - F.col("i") + 1)), lambda a: F.array_join(F.slice("letters", F.col("i"), a), JOINER)))
-    right = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(span_p), F.size("phones") - F.col("j") + 1)), lambda b: F.when(b == 0, EPSILON).otherwise(F.array_join(F.slice("phones", F.col("j"), b), JOINER))))
-    units = rows.select("letters", "phones", "j", left.alias("l")).select("l", right.alias("p")).distinct().select(F.concat("l", F.lit(UNIT), "p").alias("unit"))
-    # the number of units is a scalar; a window without keys would gather them in one task
-    n = units.agg(F.count("*").alias("all"))
-    return units.join(F.broadcast(n)).select("unit", (1.0 / F.col("all")).alias("prob"))
+    """(unit, prob): every unit that an entry can hold, uniform. Each task sends a unit once, however many entries hold it."""
+    rows = entries.where("size(letters) > 0").select("letters", "phones")
+    found = rows.mapInArrow(lambda batches: lattice.possible_units(batches, span_l, span_p), "unit string").distinct()
+    units = written(found, "units")
+    return units.select("unit", F.lit(1.0 / max(1, units.count())).alias("prob"))
 
 
 def _collected(q: DataFrame) -> dict[str, float]:
-    rows = q.limit(MAX_UNITS + 1).collect()
-    if len(rows) > MAX_UNITS:
+    rows = q.select("unit", "prob").limit(MAX_UNITS + 1).toArrow()
+    if rows.num_rows > MAX_UNITS:
         raise ValueError(f"more than {MAX_UNITS} units can't be broadcast; prune more")
-    return {r.unit: r.prob for r in rows}
+    return dict(zip(rows["unit"].to_pylist(), rows["prob"].to_pylist(), strict=True))
 
 
-def e_step(entries: DataFrame, q: dict[str, float], span_l: int, span_p: int) -> DataFrame:
-    """(unit, count), added up; the row with a null unit has the log likelihood."""
-    table = entries.sparkSession.sparkContext.broadcast(q)
+def e_step(entries: DataFrame, units: lattice.Units, q: np.ndarray, span_l: int, span_p: int) -> tuple[np.ndarray, float]:
+    """(expected count of each unit, log likelihood) of entries (letters, phones, weight); each task adds up its own first."""
+    table = entries.sparkSession.sparkContext.broadcast((units, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str | None, float] = defaultdict(float)
-        for batch in batches:
-            for letters, phones, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, counts = expected_counts(letters, phones, span_l, span_p, table.value)
-                if p:
-                    total[None] += weight * math.log(p)
-                    for unit, c in counts.items():
-                        total[unit] += weight * c
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["unit", "count"])
-
-    return entries.select("letters", "phones", "weight").mapInArrow(run, "unit string, count double").groupBy("unit").agg(F.sum("count").alias("count"))
-
-
-def m_step(counts: dict[str, float], prune: float = PRUNE) -> dict[str, float]:
-    """Normalised counts without those below ``prune``, at least the best one, normalised again."""
-    least = prune * (sum(counts.values()) or 1.0)
-    strong = [unit for unit in counts if counts[unit] >= least] or [max(counts, key=counts.__getitem__)]
-    mass = sum(map(counts.__getitem__, strong))
-    return {unit: counts[unit] / mass for unit in strong}
+        known, q = table.value
+        p, counts, likely, some = known.spread(np.where(q > EPS, q, 0.0), 0.0), np.zeros(known.size), 0.0, False
+        for rows in lattice.gathered(batches):
+            weight, some = rows["weight"].to_numpy().astype(float), True
+            for shape in lattice.shapes(rows, span_l, span_p, known.left, known.right):
+                likely += lattice.add_expected(shape, weight[shape[0]], known, p, counts, span_l, span_p)
+        if some:
+            own = counts[known.own]
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(own[held], likely))], ["place", "count"])
+
+    added = entries.select("letters", "phones", "weight").mapInArrow(run, "place long, count double").groupBy("place").agg(F.sum("count").alias("count")).toArrow()
+    table.unpersist()
+    place, count = added["place"].to_numpy(), added["count"].to_numpy()
+    counts = np.zeros(len(units.units) + 1)
+    counts[place] = count  # -1, the last, has the log likelihood
+    return counts[:-1], float(counts[-1])
+
+
+def m_step(counts: np.ndarray, prune: float = PRUNE) -> np.ndarray:
+    """Normalised counts, 0 for those below ``prune``, but for the best one, normalised again."""
+    strong = (counts > 0) & (counts >= prune * counts.sum())
+    if not strong.any():
+        strong[counts.argmax()] = True
+    kept = np.where(strong, counts, 0.0)
+    return kept / kept.sum()
 
 
 def fit_units(entries: DataFrame, span_l: int = 2, span_p: int = 2, iterations: int = 15, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
     """((unit, prob), log likelihood of each round) by soft EM."""
-    pairs = grouped(entries).persist()
-    q, told = _collected(initial_units(pairs, span_l, span_p)), []
+    spark = entries.sparkSession
+    # small cached tables would be put together to fewer tasks than there are cores
+    pairs = grouped(entries).repartition(2 * spark.sparkContext.defaultParallelism).persist()
+    names, told = sorted(_collected(initial_units(pairs, span_l, span_p))), []
+    q = np.full(len(names), 1.0 / max(1, len(names)))
     for _ in range(iterations):
-        rows = e_step(pairs, q, span_l, span_p).limit(MAX_UNITS + 2).collect()
-        if len(rows) > MAX_UNITS + 1:
-            raise ValueError(f"more than {MAX_UNITS} units can't be broadcast; prune more")
-        told.append(next((r["count"] for r in rows if r.unit is None), 0.0))
-        counts = {r.unit: r["count"] for r in rows if r.unit is not None}
-        if not counts:
+        units = lattice.Units(names)
+        counts, likely = e_step(pairs, units, q, span_l, span_p)
+        told.append(likely)
+        if not counts.any():
             break
         q = m_step(counts)
+        names, q = [names[k] for k in np.flatnonzero(q)], q[q > 0]
         if len(told) > 1 and abs(told[-1] - told[-2]) <= tolerance * max(1.0, abs(told[-2])):
             break
     pairs.unpersist()
-    return entries.sparkSession.createDataFrame(sorted(q.items()), "unit string, prob double"), told
+    return spark.createDataFrame(pa.table({"unit": pa.array(names, pa.string()), "prob": pa.array(q, pa.float64())})), told
 
 
 def viterbi(entries: DataFrame, q: DataFrame, span_l: int = 2, span_p: int = 2) -> DataFrame:
     """``entries`` with ``units``: the best path, or null."""
-    table = entries.sparkSession.sparkContext.broadcast(_collected(q))
+    found = {unit: math.log(p) for unit, p in _collected(q).items() if p > EPS}
+    table = entries.sparkSession.sparkContext.broadcast((lattice.Units(list(found)), np.array(list(found.values()))))
     schema = entries.select("*").schema.add("units", entries.schema["letters"].dataType)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters, phones = (batch.column(names.index(c)).to_pylist() for c in ("letters", "phones"))
-            paths = [best_path(a, b, span_l, span_p, table.value) for a, b in zip(letters, phones, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], names)
+        known, values = table.value
+        logs, unit_names = known.spread(values, -math.inf), pa.array(known.units, pa.string())
+        for rows in lattice.gathered(batches):
+            paths = lattice.paths_of(rows, known, unit_names, logs, span_l, span_p)
+            yield from pa.table([*rows.columns, paths], names).to_batches()
 
     return entries.mapInArrow(run, schema)
 
@@ -282,6 +292,87 @@ def decode(letters: list[str], q: dict[str, dict[str, float]], lm: NgramModel, s
     return [p for side in reversed(phones) for p in side]
 
 
+class PairDecoder:
+    """``decode`` at order 2 over all histories, for many words.
+
+    Pairs that were never seen differ only by their history, so the best history
+    stands for all of them; the pairs that were seen are asked one by one.
+    """
+
+    def __init__(self, q: dict[str, dict[str, float]], lm: NgramModel, span_l: int = 2):
+        self.span = span_l
+        self.units = {side: sorted(units) for side, units in q.items()}
+        self.logs = {side: np.array([math.log(q[side][u]) for u in units]) for side, units in self.units.items()}
+        self.rank = {u: k for k, u in enumerate(sorted(u for units in self.units.values() for u in units))}
+        self.ranks = {side: np.array([self.rank[u] for u in units]) for side, units in self.units.items()}
+        spread = lm.add_k * lm.size
+        seen = {w[0]: n for w, n in lm.n.items() if len(w) == 1 and n}
+        # the log probability of any unit never seen after the history; -inf where the history wasn't seen
+        rare = lambda h: math.log(lm.add_k / (seen[h] + spread)) if h in seen else -math.inf
+        self.rare = {side: np.array([rare(u) for u in units]) for side, units in self.units.items()} | {None: np.array([rare(BEGIN)])}
+        self.alone = {side: np.array([math.log((seen.get(u, 0) + lm.add_k) / (lm.total + spread)) for u in units]) for side, units in self.units.items()}
+        place = {u: (side, k) for side, units in self.units.items() for k, u in enumerate(units)}
+        known: dict[tuple, list] = defaultdict(list)
+        for w, n in lm.n.items():
+            if len(w) == 2 and n and w[0] in seen and w[1] in place:
+                side, k = (None, 0) if w[0] == BEGIN else place.get(w[0], (None, None))
+                if k is not None:
+                    to, x = place[w[1]]
+                    known[side, to].append((k, x, math.log((n + lm.add_k) / (seen[w[0]] + spread))))
+        self.known = {key: tuple(map(np.array, zip(*rows, strict=True))) for key, rows in known.items()}
+
+    def __call__(self, letters: list[str]) -> list[str] | None:
+        states: list[list[tuple]] = [[] for _ in range(len(letters) + 1)]  # (side, scores, from which state, from which of its units, begin)
+        states[0] = [(None, np.zeros(1), None, None, 0)]
+        for i in range(len(letters)):
+            here = states[i]
+            if not here:
+                continue
+            # for histories that were seen and others apart, the best: of equal ones that of the higher score, then the first
+            score = np.concatenate([x[1] for x in here])
+            rare = np.concatenate([self.rare[x[0]] for x in here])
+            rank = np.concatenate([self.ranks[x[0]] if x[0] is not None else np.array([-1]) for x in here])
+            group = np.concatenate([np.full(len(x[1]), g) for g, x in enumerate(here)])
+            local = np.concatenate([np.arange(len(x[1])) for x in here])
+            first = np.cumsum([0] + [len(x[1]) for x in here])
+            seen = np.flatnonzero(rare > -math.inf)
+            other = np.flatnonzero(rare == -math.inf)
+            for a in range(1, min(self.span, len(letters) - i) + 1):
+                side = JOINER.join(letters[i : i + a])
+                if side not in self.units:
+                    continue
+                logs = self.logs[side]
+                every = np.arange(len(logs))
+                offers = []  # (unit, history, score)
+                if len(seen):
+                    h = seen[np.lexsort((rank[seen], -score[seen], -(score[seen] + rare[seen])))[0]]
+                    offers.append((every, np.full(len(logs), h), score[h] + logs + rare[h]))
+                if len(other):
+                    h = other[np.lexsort((rank[other], -score[other]))[0]]
+                    offers.append((every, np.full(len(logs), h), score[h] + logs + self.alone[side]))
+                for g, x in enumerate(here):
+                    if (x[0], side) in self.known:
+                        k, u, lp = self.known[x[0], side]
+                        offers.append((u, first[g] + k, x[1][k] + logs[u] + lp))
+                unit, history, s = (np.concatenate(c) for c in zip(*offers, strict=True))
+                order = np.lexsort((rank[history], -score[history], -s, unit))
+                best = order[np.concatenate([[True], np.diff(unit[order]) > 0])]  # every unit has an offer
+                states[i + a].append((side, s[best], group[history[best]], local[history[best]], i))
+        if not states[-1]:
+            return None
+        at = len(letters)
+        ends = [(-x[1].max(), self.rank[self.units[x[0]][int(x[1].argmax())]], g, int(x[1].argmax())) for g, x in enumerate(states[at]) if x[0] is not None]
+        if not ends:
+            return []
+        _, _, g, k = min(ends)
+        phones = []
+        while at:
+            side, _, groups, units, at = states[at][g]
+            phones.append(phones_of(self.units[side][k]))
+            g, k = int(groups[k]), int(units[k])
+        return [p for x in reversed(phones) for p in x]
+
+
 def decode_words(words: DataFrame, q: DataFrame, counts: DataFrame, span_l: int = 2, order: int = 3, add_k: float = 0.01, beam: int = 0) -> DataFrame:
     """``words`` (word, letters) with ``predicted``; the units and n-gram counts (w1, w2, w3, n) are broadcast below a checked size."""
     by_letters: dict[str, dict[str, float]] = defaultdict(dict)
@@ -297,8 +388,9 @@ def decode_words(words: DataFrame, q: DataFrame, counts: DataFrame, span_l: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, rows = model.value
         lm = NgramModel(rows, order, add_k)
+        pairs = PairDecoder(units, lm, span_l) if order == 2 and not beam else None
         for batch in batches:
-            found = [decode(x, units, lm, span_l, beam) for x in batch.column(names.index("letters")).to_pylist()]
+            found = [pairs(x) if pairs else decode(x, units, lm, span_l, beam) for x in batch.column(names.index("letters")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names)
 
     return words.mapInArrow(run, schema)
