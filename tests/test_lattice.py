@@ -57,3 +57,21 @@ def test_units_of_the_queries_are_fitted_to_the_end(spark, monkeypatch):
         got = {u.unit: u.prob for u in got.collect()}
         assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
         assert got.keys() != short.keys() or any(abs(got[u] - short[u]) > 1e-6 for u in got)
+
+
+def test_pairs_decode_as_all_histories_do():
+    """multigram_pronounce kept 20 histories; now all count."""
+    for seed in range(8):
+        r, rows, _ = entries(seed)
+        q = {u: r.uniform(0.01, 1) for u in sorted({edge[4] for a, b in rows for edge in M._edges(a, b, 2, 2, None)})}
+        sides, grams = {}, Counter()
+        for u, p in q.items():
+            sides.setdefault(u.split(UNIT)[0], {})[u] = p
+        for path in filter(None, (M.best_path(a, b, 2, 2, q) for a, b in rows)):
+            marked = [BEGIN, *path, END]
+            grams.update((u, None, None) for u in marked)
+            grams.update((u, v, None) for u, v in zip(marked, marked[1:], strict=False))
+        lm = M.NgramModel([(*w, n) for w, n in grams.items()], 2)
+        pairs = M.PairDecoder(sides, lm)
+        words = [[r.choice(["a", "b", "s₊h", "s", "h", "q"][: 5 + (k % 5 == 0)]) for _ in range(r.randint(0, 6))] for k in range(40)]
+        assert [pairs(w) for w in words] == [M.decode(w, sides, lm) for w in words]
